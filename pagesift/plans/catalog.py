@@ -52,3 +52,103 @@ def q_multi_k(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.lit(1) + F.pmod("id", F.lit(50))).alias("k"))
           .where(F.col("k").between(1, 50)))
     return topk.vector_topk(pts, qs, k_col="k")
+
+
+@register("vector_top1")
+def q_vector_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query vector (the collection centroid) -> top 10 by dot product."""
+    pts = _embedding_points(spark, sf_dir)
+    centroid = (pts.select(F.posexplode("vector").alias("i", "x"))
+                .groupBy("i").agg(F.avg("x").alias("m")).orderBy("i"))
+    qv = [r["m"] for r in centroid.collect()]  # one row per dimension: bounded by dim
+    return topk.vector_topk_expr(pts, qv, 10)
+
+
+# ---------------------------------------------------------------- html / text
+
+from ..functions import encoders as E  # noqa: E402
+from ..functions import html as H  # noqa: E402
+from ..functions import text as T  # noqa: E402
+from ..functions.vectors import dot as _dot  # noqa: E402,F401
+from ..sources import fixtures as X  # noqa: E402
+
+HASH = E.HashEncoder()
+CHUNK_WORDS, CHUNK_OVERLAP = 500, 50
+
+
+def vec_fp(v) -> F.Column:
+    c = F.col(v) if isinstance(v, str) else v
+    return F.round(F.aggregate(F.transform(c, lambda x, i: x.cast("double") * (i + 1)),
+                               F.lit(0.0), lambda s, x: s + x), 6)
+
+
+def vec_nnz(v) -> F.Column:
+    c = F.col(v) if isinstance(v, str) else v
+    return F.size(F.filter(c, lambda x: x != 0)).cast("int")
+
+
+@register("remove_tags")
+def q_remove_tags(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages", "page_id", "html")
+    return p.select("page_id", H.remove_tags("html").alias("text"),
+                    H.remove_tags_invalid("html").alias("invalid"))
+
+
+@register("paragraphs")
+def q_paragraphs(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages", "page_id", "html")
+    return p.select("page_id", F.posexplode(H.paragraphs("html")).alias("pos", "paragraph"))
+
+
+@register("articles")
+def q_articles(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return p.select("page_id", "url", H.article_text("html").alias("article"),
+                    F.size(H.paragraphs("html")).alias("n_paragraphs"),
+                    T.word_count(H.article_text("html")).alias("n_words"))
+
+
+@register("published")
+def q_published(spark, sf_dir):
+    f = X.fetched_pages(spark, sf_dir)
+    return f.select("page_id", "status", H.published("html").alias("published"))
+
+
+@register("word_counts")
+def q_word_counts(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return d.select("doc_id", T.word_count("text").alias("n_words"))
+
+
+@register("length_filter")
+def q_length_filter(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return d.where(T.under_length("text")).select("doc_id", T.word_count("text").alias("n_words"))
+
+
+@register("sentences")
+def q_sentences(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return d.select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
+
+
+@register("chunks")
+def q_chunks(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return (d.select("doc_id", F.posexplode(T.chunks("text", CHUNK_WORDS, CHUNK_OVERLAP)).alias("pos", "chunk"))
+            .withColumn("n_words", T.word_count("chunk")))
+
+
+@register("encode")
+def q_encode(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    v = d.select("doc_id", HASH.column("text").alias("v"))
+    return v.select("doc_id", F.size("v").alias("dim"), vec_nnz("v").alias("nnz"), vec_fp("v").alias("fp"))
+
+
+@register("encode_sentences")
+def q_encode_sentences(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    s = d.select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
+    v = s.select("doc_id", "pos", HASH.column("sentence").alias("v"))
+    return v.select("doc_id", "pos", vec_nnz("v").alias("nnz"), vec_fp("v").alias("fp"))

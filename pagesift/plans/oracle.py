@@ -51,3 +51,66 @@ WITH q AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM r WHERE rank <= k
 """)
+
+
+# ---------------------------------------------------------------- html / text
+from . import sqlexpr as S  # noqa: E402
+
+sql("vector_top1", f"""
+WITH e AS (SELECT unnest(range(64)) AS i, unnest(embedding) AS x FROM embeddings),
+c AS (SELECT list(m ORDER BY i) AS cv FROM (SELECT i, avg(x) AS m FROM e GROUP BY i)),
+s AS (SELECT vec_id AS id, {S.dot('embedding', 'cv')} AS raw FROM embeddings, c)
+SELECT id, round(raw, 6) AS score FROM s ORDER BY {S.key('raw')} DESC, id LIMIT 10
+""")
+
+sql("remove_tags", f"""
+SELECT page_id, {S.remove_tags('html')} AS text, {S.remove_tags_invalid('html')} AS invalid FROM pages
+""")
+
+sql("paragraphs", f"""
+SELECT page_id, pos - 1 AS pos, paragraph FROM (
+  SELECT page_id, unnest({S.paragraphs('html')}) AS paragraph,
+         unnest(range(1, len({S.paragraphs('html')}) + 1)) AS pos FROM pages)
+""")
+
+sql("articles", f"""
+SELECT page_id, url, {S.article_text('html')} AS article, len({S.paragraphs('html')}) AS n_paragraphs,
+       {S.word_count(S.article_text('html'))} AS n_words FROM pages
+""")
+
+sql("published", f"""
+WITH {S.FETCHED.strip()}
+SELECT page_id, status, {S.published('html')} AS published FROM fetched
+""")
+
+sql("word_counts", f"SELECT doc_id, {S.word_count('text')} AS n_words FROM documents")
+
+sql("length_filter", f"""
+SELECT doc_id, {S.word_count('text')} AS n_words FROM documents WHERE {S.word_count('text')} < 1200
+""")
+
+sql("sentences", f"""
+SELECT doc_id, (pos - 1)::INTEGER AS pos, sentence FROM (
+  SELECT doc_id, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS pos
+  FROM (SELECT doc_id, {S.sentences('text')} AS s FROM documents))
+""")
+
+sql("chunks", f"""
+SELECT doc_id, (pos - 1)::INTEGER AS pos, chunk, {S.word_count('chunk')} AS n_words FROM (
+  SELECT doc_id, unnest(c) AS chunk, unnest(range(1, len(c) + 1)) AS pos
+  FROM (SELECT doc_id, {S.chunks('text', 500, 50)} AS c FROM documents))
+""")
+
+sql("encode", f"""
+SELECT doc_id, len(v)::INTEGER AS dim, {S.vec_nnz('v')} AS nnz, {S.vec_fp('v')} AS fp
+FROM (SELECT doc_id, {S.hash_vec('text')} AS v FROM documents)
+""")
+
+sql("encode_sentences", f"""
+WITH s AS (
+  SELECT doc_id, (pos - 1)::INTEGER AS pos, sentence FROM (
+    SELECT doc_id, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS pos
+    FROM (SELECT doc_id, {S.sentences('text')} AS s FROM documents)))
+SELECT doc_id, pos, {S.vec_nnz('v')} AS nnz, {S.vec_fp('v')} AS fp
+FROM (SELECT doc_id, pos, {S.hash_vec('sentence')} AS v FROM s)
+""")
