@@ -58,7 +58,7 @@ def crawl(config: DataFrame, index_docs: DataFrame, sitemap_docs: DataFrame,
 def crawl_stats(crawled: DataFrame) -> DataFrame:
     """A2: links per sitemap, per site and in total in one result."""
     return (crawled.rollup("site", "sitemap")
-            .agg(F.count(F.lit(1)).alias("n_links"), F.grouping_id().alias("level")))
+            .agg(F.count(F.lit(1)).alias("n_links"), F.grouping_id().cast("int").alias("level")))
 
 
 def parse_rejects(docs: DataFrame, xml_col: str, tag: str, keep: list[str]) -> DataFrame:

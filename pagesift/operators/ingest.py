@@ -121,7 +121,7 @@ def ingest(urls: DataFrame, fetched: DataFrame, encoder: Encoder, existing: Data
     acc = accepted(routed).select("source", "seq", "url", "article", "published", "n_words")
     with_ids = assign_ids(acc, next_id(existing))
     points = build_points(with_ids, encoder)
-    articles = with_ids.select("id", "url", "article", "published", "n_words")
+    articles = with_ids.select("id", "source", "url", "article", "published", "n_words")
     return points, articles, rejects(routed)
 
 

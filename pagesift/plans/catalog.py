@@ -152,3 +152,220 @@ def q_encode_sentences(spark, sf_dir):
     s = d.select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
     v = s.select("doc_id", "pos", HASH.column("sentence").alias("v"))
     return v.select("doc_id", "pos", vec_nnz("v").alias("nnz"), vec_fp("v").alias("fp"))
+
+
+# ---------------------------------------------------------------- crawl
+
+from ..config import SITEMAP_KEYWORDS  # noqa: E402
+from ..operators import crawl as C  # noqa: E402
+
+
+@register("sitemap_links")
+def q_sitemap_links(spark, sf_dir):
+    """Every <url><loc> of every sitemap document, in document order."""
+    docs = X.sitemap_docs(spark, sf_dir)
+    return C.links(docs, "xml", "url", ["doc_url"]).select("doc_url", "pos", F.col("loc").alias("url"))
+
+
+@register("keyword_filter")
+def q_keyword_filter(spark, sf_dir):
+    """Sitemap entries of every site index kept by the three keywords."""
+    cfg = X.crawl_config(spark, sf_dir, SITEMAP_KEYWORDS)
+    return C.sitemap_entries(cfg, X.sitemap_index_docs(spark, sf_dir))
+
+
+@register("crawl")
+def q_crawl(spark, sf_dir):
+    """E5: index -> kept sitemaps -> article URLs."""
+    cfg = X.crawl_config(spark, sf_dir, SITEMAP_KEYWORDS)
+    return C.crawl(cfg, X.sitemap_index_docs(spark, sf_dir), X.sitemap_docs(spark, sf_dir))
+
+
+@register("crawl_stats")
+def q_crawl_stats(spark, sf_dir):
+    """A2: links per sitemap, per site, total."""
+    return C.crawl_stats(q_crawl(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- ingest
+
+from ..operators import ingest as I  # noqa: E402
+
+
+def _urls(spark, sf_dir):
+    return X.url_lists(spark, sf_dir)
+
+
+def _routed(spark, sf_dir, urls=None):
+    return I.route(urls if urls is not None else _urls(spark, sf_dir), X.fetched_pages(spark, sf_dir))
+
+
+def _done(spark, sf_dir):
+    """Resume fixture: URLs of page_id % 3 = 0 were handled by an earlier run."""
+    return _urls(spark, sf_dir).where(F.pmod("seq", F.lit(3)) == 0)
+
+
+@register("fetch_outcome")
+def q_fetch_outcome(spark, sf_dir):
+    o = I.fetch_outcome(_urls(spark, sf_dir), X.fetched_pages(spark, sf_dir))
+    return o.select("source", "seq", "url", "status", F.col("status").isNotNull().alias("fetched"))
+
+
+@register("route")
+def q_route(spark, sf_dir):
+    return _routed(spark, sf_dir).select("source", "seq", "url", "status", "n_words", "route")
+
+
+@register("rejects")
+def q_rejects(spark, sf_dir):
+    return I.rejects(_routed(spark, sf_dir))
+
+
+@register("reject_counts")
+def q_reject_counts(spark, sf_dir):
+    """A3: rejected per source and reason, per source, and in total."""
+    return (I.rejects(_routed(spark, sf_dir)).rollup("source", "reason")
+            .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level")))
+
+
+@register("source_progress")
+def q_source_progress(spark, sf_dir):
+    """A4: listed, accepted and rejected per source; net indexable = listed - too_long - 410."""
+    r = _routed(spark, sf_dir)
+    return (r.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_listed"),
+        F.count_if(F.col("route") == I.ACCEPTED).alias("n_accepted"),
+        F.count_if(F.col("route") == I.TOO_LONG).alias("n_too_long"),
+        F.count_if(F.col("route") == I.HTTP_410).alias("n_http_410"),
+        F.count_if(F.col("route") != I.ACCEPTED).alias("n_rejected"))
+        .withColumn("n_indexable", F.col("n_listed") - F.col("n_too_long") - F.col("n_http_410")))
+
+
+@register("pending_urls")
+def q_pending_urls(spark, sf_dir):
+    return I.pending_urls(_urls(spark, sf_dir), _done(spark, sf_dir)).select("source", "seq", "url")
+
+
+@register("indexed_urls")
+def q_indexed_urls(spark, sf_dir):
+    return I.indexed_urls(_urls(spark, sf_dir), _done(spark, sf_dir)).select("source", "seq", "url")
+
+
+def _with_ids(spark, sf_dir):
+    acc = I.accepted(_routed(spark, sf_dir)).select("source", "seq", "url", "article", "published", "n_words")
+    return I.assign_ids(acc, 1)
+
+
+@register("assign_ids")
+def q_assign_ids(spark, sf_dir):
+    return _with_ids(spark, sf_dir).select("id", "source", "seq", "url")
+
+
+@register("batch_plan")
+def q_batch_plan(spark, sf_dir):
+    return I.batch_plan(_with_ids(spark, sf_dir), 1).select("id", "encode_batch", "insert_batch")
+
+
+@register("points_build")
+def q_points_build(spark, sf_dir):
+    p = I.build_points(_with_ids(spark, sf_dir), HASH)
+    return p.select("id", F.col("payload.url").alias("url"), F.size("vector").alias("dim"),
+                    vec_nnz("vector").alias("nnz"), vec_fp("vector").alias("fp"))
+
+
+def _two_run_ingest(spark, sf_dir):
+    """E4 twice: a first run over the page_id % 3 = 0 URLs, then a resumed
+    run over the whole lists that skips what the first run handled (J6)."""
+    urls, fetched = _urls(spark, sf_dir), X.fetched_pages(spark, sf_dir)
+    p1, a1, r1 = I.ingest(urls.where(F.pmod("seq", F.lit(3)) == 0), fetched, HASH)
+    done = a1.select("source", "url").unionByName(r1.select("source", "url"))
+    p2, a2, r2 = I.ingest(urls, fetched, HASH, existing=p1, done=done)
+    return p1.unionByName(p2), a1.unionByName(a2), r1.unionByName(r2)
+
+
+@register("ingest")
+def q_ingest(spark, sf_dir):
+    points, _, _ = _two_run_ingest(spark, sf_dir)
+    return points.select("id", F.col("payload.url").alias("url"), vec_nnz("vector").alias("nnz"),
+                         vec_fp("vector").alias("fp"))
+
+
+@register("point_count")
+def q_point_count(spark, sf_dir):
+    """A1: exact count of the collection built by the resumed ingest."""
+    points, _, _ = _two_run_ingest(spark, sf_dir)
+    return points.agg(F.count(F.lit(1)).alias("n_points"))
+
+
+@register("points_upsert")
+def q_points_upsert(spark, sf_dir):
+    """Changed vectors for vec_id % 10 = 0, new ids above the maximum for vec_id % 10 = 5."""
+    old = _embedding_points(spark, sf_dir)
+    max_id = old.agg(F.max("id")).first()[0]  # one scalar
+    changed = old.where(F.pmod("id", F.lit(10)) == 0).select("id", F.reverse("vector").alias("vector"))
+    added = old.where(F.pmod("id", F.lit(10)) == 5).select((F.col("id") + F.lit(max_id + 1)).alias("id"), "vector")
+    merged = I.upsert(old, changed.unionByName(added))
+    return merged.select("id", vec_fp("vector").alias("fp"))
+
+
+@register("embedding_dim")
+def q_embedding_dim(spark, sf_dir):
+    """Dimension check of a collection."""
+    e = _embedding_points(spark, sf_dir)
+    return e.agg(F.min(F.size("vector")).alias("min_dim"), F.max(F.size("vector")).alias("max_dim"),
+                 F.count(F.lit(1)).alias("n_points"))
+
+
+@register("ingest_metrics")
+def q_ingest_metrics(spark, sf_dir):
+    """The progress counters of one ingest run, as a one-row table."""
+    r = _routed(spark, sf_dir)
+    return r.agg(F.count(F.lit(1)).alias("n_listed"),
+                 F.count_if(F.col("route") == I.ACCEPTED).alias("n_accepted"),
+                 F.count_if(F.col("route") != I.ACCEPTED).alias("n_rejected"),
+                 F.sum(F.when(F.col("route") == I.ACCEPTED, F.col("n_words"))).alias("n_words_accepted"))
+
+
+# ---------------------------------------------------------------- search
+
+from ..operators import search as SR  # noqa: E402
+
+SEARCH_K, DOC_SEARCH_K = 3, 5
+
+
+def pages_collection(spark, sf_dir):
+    """One ingest run over both URL lists: (points, articles, rejects)."""
+    return I.ingest(_urls(spark, sf_dir), X.fetched_pages(spark, sf_dir), HASH)
+
+
+def benchmark_queries(spark, sf_dir):
+    b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@register("search")
+def q_search(spark, sf_dir):
+    """T5: benchmark passages against the page collection, k=3, best sentence per hit."""
+    points, articles, _ = pages_collection(spark, sf_dir)
+    return SR.search(points, articles, benchmark_queries(spark, sf_dir), HASH, SEARCH_K) \
+        .select("query_id", "rank", "date", "url", "score", "sentence", "sentence_distance")
+
+
+def documents_collection(spark, sf_dir):
+    """Documents under the length limit as points (id = doc_id) and articles."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text").where(T.under_length("text"))
+    arts = d.select(F.col("doc_id").alias("id"), F.col("text").alias("article"))
+    pts = arts.select("id", HASH.column("article").alias("vector"))
+    return pts, arts
+
+
+@register("doc_search")
+def q_doc_search(spark, sf_dir):
+    """T5 over documents: benchmark passages, k=5."""
+    pts, arts = documents_collection(spark, sf_dir)
+    return SR.search(pts, arts, benchmark_queries(spark, sf_dir), HASH, DOC_SEARCH_K, date_col=None) \
+        .select("query_id", "rank", F.col("id").alias("doc_id"), "score", "sentence", "sentence_distance")
+
+
+def flagship(spark, sf_dir):
+    return q_search(spark, sf_dir)

@@ -68,13 +68,13 @@ SELECT page_id, {S.remove_tags('html')} AS text, {S.remove_tags_invalid('html')}
 """)
 
 sql("paragraphs", f"""
-SELECT page_id, pos - 1 AS pos, paragraph FROM (
+SELECT page_id, (pos - 1)::INTEGER AS pos, paragraph FROM (
   SELECT page_id, unnest({S.paragraphs('html')}) AS paragraph,
          unnest(range(1, len({S.paragraphs('html')}) + 1)) AS pos FROM pages)
 """)
 
 sql("articles", f"""
-SELECT page_id, url, {S.article_text('html')} AS article, len({S.paragraphs('html')}) AS n_paragraphs,
+SELECT page_id, url, {S.article_text('html')} AS article, len({S.paragraphs('html')})::INTEGER AS n_paragraphs,
        {S.word_count(S.article_text('html'))} AS n_words FROM pages
 """)
 
@@ -114,3 +114,199 @@ WITH s AS (
 SELECT doc_id, pos, {S.vec_nnz('v')} AS nnz, {S.vec_fp('v')} AS fp
 FROM (SELECT doc_id, pos, {S.hash_vec('sentence')} AS v FROM s)
 """)
+
+
+# ---------------------------------------------------------------- crawl
+
+sql("sitemap_links", f"""
+WITH {S.SITEMAPS.strip()}
+SELECT smx.doc_url, (row_number() OVER (PARTITION BY hp.host, hp.chunk ORDER BY hp.page_id) - 1)::INTEGER AS pos,
+       hp.url
+FROM hp JOIN smx USING (host, chunk)
+""")
+
+_ENTRIES = f"""
+{S.SITEMAPS.strip()},
+ent AS (
+  SELECT site, (row_number() OVER (PARTITION BY site, floor(first_id / 50000) ORDER BY first_id) - 1)::INTEGER
+           AS sitemap_pos, doc_url AS sitemap, host, chunk
+  FROM smx
+),
+kept AS (
+  SELECT * FROM ent
+  WHERE contains(sitemap, '/post-sitemap') OR contains(sitemap, '/slideshow-sitemap')
+     OR contains(sitemap, '/video-sitemap')
+)"""
+
+sql("keyword_filter", f"""
+WITH {_ENTRIES.strip()}
+SELECT site, sitemap_pos, sitemap FROM kept
+""")
+
+_CRAWL = f"""
+{_ENTRIES.strip()},
+crawled AS (
+  SELECT kept.site, kept.sitemap_pos, kept.sitemap,
+         (row_number() OVER (PARTITION BY hp.host, hp.chunk ORDER BY hp.page_id) - 1)::INTEGER AS link_pos,
+         hp.url
+  FROM hp JOIN kept USING (host, chunk)
+)"""
+
+sql("crawl", f"""
+WITH {_CRAWL.strip()}
+SELECT site, sitemap_pos, sitemap, link_pos, url FROM crawled
+""")
+
+sql("crawl_stats", f"""
+WITH {_CRAWL.strip()}
+SELECT site, sitemap, count(*) AS n_links, grouping(site, sitemap)::INTEGER AS level
+FROM crawled GROUP BY ROLLUP (site, sitemap)
+""")
+
+
+# ---------------------------------------------------------------- ingest
+
+sql("fetch_outcome", f"""
+WITH {S.URLS.strip()}, {S.FETCHED.strip()}
+SELECT u.source, u.seq, u.url, f.status, f.status IS NOT NULL AS fetched
+FROM urls u LEFT JOIN fetched f ON u.url = f.url
+""")
+
+sql("route", f"WITH {S.ROUTED.strip()} SELECT source, seq, url, status, n_words, route FROM routed")
+
+sql("rejects", f"""
+WITH {S.ROUTED.strip()}
+SELECT source, seq, url, route AS reason, status FROM routed WHERE route <> 'accepted'
+""")
+
+sql("reject_counts", f"""
+WITH {S.ROUTED.strip()}
+SELECT source, route AS reason, count(*) AS n, grouping(source, route)::INTEGER AS level
+FROM routed WHERE route <> 'accepted' GROUP BY ROLLUP (source, route)
+""")
+
+sql("source_progress", f"""
+WITH {S.ROUTED.strip()}
+SELECT source, count(*) AS n_listed,
+       count(*) FILTER (WHERE route = 'accepted') AS n_accepted,
+       count(*) FILTER (WHERE route = 'too_long') AS n_too_long,
+       count(*) FILTER (WHERE route = 'http_410') AS n_http_410,
+       count(*) FILTER (WHERE route <> 'accepted') AS n_rejected,
+       count(*) - count(*) FILTER (WHERE route = 'too_long') - count(*) FILTER (WHERE route = 'http_410') AS n_indexable
+FROM routed GROUP BY source
+""")
+
+sql("pending_urls", f"WITH {S.URLS.strip()} SELECT source, seq, url FROM urls WHERE seq % 3 <> 0")
+sql("indexed_urls", f"WITH {S.URLS.strip()} SELECT source, seq, url FROM urls WHERE seq % 3 = 0")
+
+_IDS = f"""
+{S.ROUTED.strip()},
+ids AS (
+  SELECT row_number() OVER (ORDER BY source, seq) AS id, source, seq, url, article
+  FROM routed WHERE route = 'accepted'
+)"""
+
+sql("assign_ids", f"WITH {_IDS.strip()} SELECT id, source, seq, url FROM ids")
+
+sql("batch_plan", f"""
+WITH {_IDS.strip()}
+SELECT id, floor((id - 1) / 5)::BIGINT AS encode_batch, floor((id - 1) / 100)::BIGINT AS insert_batch FROM ids
+""")
+
+sql("points_build", f"""
+WITH {_IDS.strip()}
+SELECT id, url, len(v)::INTEGER AS dim, {S.vec_nnz('v')} AS nnz, {S.vec_fp('v')} AS fp
+FROM (SELECT id, url, {S.hash_vec('article')} AS v FROM ids)
+""")
+
+_TWO_RUN = f"""
+{S.ROUTED.strip()},
+acc AS (SELECT *, seq % 3 = 0 AS first_run FROM routed WHERE route = 'accepted'),
+n1 AS (SELECT count(*) AS n FROM acc WHERE first_run),
+ids AS (
+  SELECT row_number() OVER (ORDER BY source, seq) AS id, url, article FROM acc WHERE first_run
+  UNION ALL
+  SELECT (SELECT n FROM n1) + row_number() OVER (ORDER BY source, seq) AS id, url, article
+  FROM acc WHERE NOT first_run
+)"""
+
+sql("ingest", f"""
+WITH {_TWO_RUN.strip()}
+SELECT id, url, {S.vec_nnz('v')} AS nnz, {S.vec_fp('v')} AS fp
+FROM (SELECT id, url, {S.hash_vec('article')} AS v FROM ids)
+""")
+
+sql("point_count", f"WITH {_TWO_RUN.strip()} SELECT count(*) AS n_points FROM ids")
+
+sql("points_upsert", f"""
+WITH m AS (SELECT max(vec_id) AS mx FROM embeddings),
+new AS (
+  SELECT vec_id AS id, list_reverse(embedding) AS v FROM embeddings WHERE vec_id % 10 = 0
+  UNION ALL
+  SELECT vec_id + (SELECT mx FROM m) + 1 AS id, embedding AS v FROM embeddings WHERE vec_id % 10 = 5
+),
+merged AS (
+  SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id NOT IN (SELECT id FROM new)
+  UNION ALL SELECT id, v FROM new
+)
+SELECT id, {S.vec_fp('v')} AS fp FROM merged
+""")
+
+sql("embedding_dim", """
+SELECT min(len(embedding))::INTEGER AS min_dim, max(len(embedding))::INTEGER AS max_dim, count(*) AS n_points
+FROM embeddings
+""")
+
+sql("ingest_metrics", f"""
+WITH {S.ROUTED.strip()}
+SELECT count(*) AS n_listed, count(*) FILTER (WHERE route = 'accepted') AS n_accepted,
+       count(*) FILTER (WHERE route <> 'accepted') AS n_rejected,
+       (sum(n_words) FILTER (WHERE route = 'accepted'))::BIGINT AS n_words_accepted
+FROM routed
+""")
+
+
+# ---------------------------------------------------------------- search
+
+def _search_sql(corpus_cte: str, k: int, with_url: bool) -> str:
+    return f"""
+WITH {corpus_cte.strip()},
+pts AS (SELECT id, url, article, published, {S.hash_vec('article')} AS v FROM corpus),
+q AS (SELECT item_id AS query_id, {S.hash_vec('text')} AS qv FROM benchmark WHERE text IS NOT NULL AND text <> ''),
+s AS (SELECT q.query_id, pts.id, pts.url, pts.published, {S.dot('pts.v', 'q.qv')} AS raw FROM q, pts),
+hits AS (
+  SELECT query_id, id, url, published, round(raw, 6) AS score,
+         row_number() OVER (PARTITION BY query_id ORDER BY {S.key('raw')} DESC, id) AS rank
+  FROM s QUALIFY rank <= {k}
+),
+hs AS (
+  SELECT query_id, rank, unnest(sents) AS sentence, unnest(range(len(sents))) AS pos
+  FROM (SELECT h.query_id, h.rank, {S.sentences('p.article')} AS sents FROM hits h JOIN pts p USING (id))
+),
+sd AS (
+  SELECT hs.query_id, hs.rank, hs.pos, hs.sentence, {S.euclid(S.hash_vec('hs.sentence'), 'q.qv')} AS d
+  FROM hs JOIN q USING (query_id)
+),
+best AS (
+  SELECT query_id, rank, sentence, d FROM sd
+  QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY {S.key('d')}, pos) = 1
+)
+SELECT h.query_id, CAST(h.rank AS INTEGER) AS rank,
+       {"h.published AS date, h.url," if with_url else "h.id AS doc_id,"} h.score,
+       b.sentence, round(b.d, 6) AS sentence_distance
+FROM hits h LEFT JOIN best b USING (query_id, rank)
+"""
+
+
+sql("search", _search_sql(f"""
+{S.ROUTED.strip()},
+corpus AS (
+  SELECT row_number() OVER (ORDER BY source, seq) AS id, url, article, published
+  FROM routed WHERE route = 'accepted'
+)""", 3, True))
+
+sql("doc_search", _search_sql(f"""
+corpus AS (
+  SELECT doc_id AS id, NULL::VARCHAR AS url, text AS article, NULL::VARCHAR AS published
+  FROM documents WHERE {S.word_count('text')} < 1200
+)""", 5, False))

@@ -62,7 +62,7 @@ def published(expr: str) -> str:
 
 
 def word_count(expr: str) -> str:
-    return f"len(string_split({expr}, ' '))"
+    return f"len(string_split({expr}, ' '))::INTEGER"
 
 
 def sentences(expr: str) -> str:
