@@ -6,12 +6,14 @@ full; result columns are aliased exactly as in ``plans.oracle``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import topk
+from ..session import ensure_checkpoint_dir, ship_package
 from ..sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +22,12 @@ _REGISTRY: dict[str, QueryFn] = {}
 
 def register(name: str):
     def deco(fn: QueryFn) -> QueryFn:
-        _REGISTRY[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            ensure_checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+        _REGISTRY[name] = run
         return fn
     return deco
 
@@ -368,4 +375,4 @@ def q_doc_search(spark, sf_dir):
 
 
 def flagship(spark, sf_dir):
-    return q_search(spark, sf_dir)
+    return _REGISTRY["search"](spark, sf_dir)
