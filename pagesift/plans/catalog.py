@@ -376,3 +376,131 @@ def q_doc_search(spark, sf_dir):
 
 def flagship(spark, sf_dir):
     return _REGISTRY["search"](spark, sf_dir)
+
+
+# ---------------------------------------------------------------- ANN / metrics
+
+from ..operators import ann as A  # noqa: E402
+
+ANN_K, IVF_CELLS, IVF_PROBES = 10, 16, 4
+
+
+def _emb_queries(spark, sf_dir):
+    return _embedding_points(spark, sf_dir).select(F.col("id").alias("query_id"), "vector")
+
+
+@register("metric_compare")
+def q_metric_compare(spark, sf_dir):
+    """overlap of the top-10 by dot product with cosine and Euclidean."""
+    return A.metric_overlap(_embedding_points(spark, sf_dir), _emb_queries(spark, sf_dir), ANN_K)
+
+
+@register("ann_ivf")
+def q_ann_ivf(spark, sf_dir):
+    """T3 (b): IVF with 16 KMeans cells, 4 probes, exact re-rank in probed cells."""
+    pts = _embedding_points(spark, sf_dir)
+    centers = A.fit_ivf(pts, IVF_CELLS)
+    index = A.build_ivf_index(pts, centers)
+    return A.ivf_topk(index, centers, _emb_queries(spark, sf_dir), ANN_K, IVF_PROBES)
+
+
+@register("ann_lsh")
+def q_ann_lsh(spark, sf_dir):
+    """T3 (a): random-projection LSH candidates (4 tables), exact re-rank."""
+    return A.lsh_topk(_embedding_points(spark, sf_dir), _emb_queries(spark, sf_dir), ANN_K)
+
+
+@register("ann_recall")
+def q_ann_recall(spark, sf_dir):
+    """Recall@10 of both approximate plans against the exact top-10."""
+    exact = _REGISTRY["vector_topk"](spark, sf_dir)
+    ivf = A.recall_at_k(_REGISTRY["ann_ivf"](spark, sf_dir), exact, ANN_K).withColumn("method", F.lit("ivf"))
+    lsh = A.recall_at_k(_REGISTRY["ann_lsh"](spark, sf_dir), exact, ANN_K).withColumn("method", F.lit("lsh"))
+    return ivf.unionByName(lsh).select("method", "recall", "n_queries")
+
+
+# ---------------------------------------------------------------- URL files, collection, requests
+
+import uuid  # noqa: E402
+
+from ..config import COLLECTION_DIM, COLLECTION_METRIC  # noqa: E402
+from ..functions.requests import with_params  # noqa: E402
+from ..session import shared_path  # noqa: E402
+from ..sources import collection as CO  # noqa: E402
+from ..sources import urls as U  # noqa: E402
+
+SLICE_OFFSET, SLICE_NB = 10, 50
+# Fixed values for the request-URL query: parameters merged into every page URL.
+REQUEST_PARAMS = {"utm_source": "pagesift", "page": "1"}
+
+
+def _written_lists(spark, sf_dir):
+    """The URL lists written as headerless CSV, one folder per source."""
+    path = shared_path(spark, "urls-" + uuid.uuid4().hex)
+    U.write_url_list(_urls(spark, sf_dir), path, partition_by="source")
+    return path
+
+
+@register("url_scan")
+def q_url_scan(spark, sf_dir):
+    """S3 + P4: read the written lists back, trailing blanks stripped."""
+    return U.strip_trailing(U.read_url_list(spark, _written_lists(spark, sf_dir))).select("source", "url")
+
+
+@register("url_sink_roundtrip")
+def q_url_sink_roundtrip(spark, sf_dir):
+    """Overwrite with one source, append the other, read back."""
+    path = shared_path(spark, "urls-" + uuid.uuid4().hex)
+    u = _urls(spark, sf_dir)
+    U.write_url_list(u.where(F.col("source") == "source0"), path, mode="overwrite")
+    U.write_url_list(u.where(F.col("source") != "source0"), path, mode="append")
+    return U.read_url_list(spark, path).select("url")
+
+
+@register("url_slice")
+def q_url_slice(spark, sf_dir):
+    """URLs 10..59 of each list, in list order."""
+    pos = U.with_positions(_urls(spark, sf_dir), ["seq"], group_col="source")
+    return U.url_slice(pos, SLICE_OFFSET, SLICE_NB, group_col="source").select("source", "pos", "url")
+
+
+@register("multi_source_urls")
+def q_multi_source_urls(spark, sf_dir):
+    """Several lists read as one table, counted per source."""
+    df = U.read_url_list(spark, _written_lists(spark, sf_dir))
+    return df.groupBy("source").agg(F.count(F.lit(1)).alias("n_urls"),
+                                    F.count_distinct("url").alias("n_distinct"))
+
+
+@register("collection_init")
+def q_collection_init(spark, sf_dir):
+    """S6 + S7 + A1: create the collection, write the ingested points, report."""
+    root = shared_path(spark, "collection-" + uuid.uuid4().hex)
+    meta = CO.create_collection(spark, root, "pages", COLLECTION_DIM, COLLECTION_METRIC)
+    points, _, _ = pages_collection(spark, sf_dir)
+    CO.upsert_points(spark, root, points, COLLECTION_DIM)
+    n = CO.point_count(CO.read_points(spark, root))
+    return meta.join(n.withColumn("name", F.lit("pages")), "name").select("name", "dim", "metric", "n_points")
+
+
+@register("request_urls")
+def q_request_urls(spark, sf_dir):
+    """request URL per page with fixed parameters merged into its query."""
+    p = read_table(spark, sf_dir, "pages", "page_id", "url")
+    return p.select("page_id", with_params("url", REQUEST_PARAMS).alias("request_url"))
+
+
+@register("decode_pages")
+def q_decode_pages(spark, sf_dir):
+    """landed bytes decoded by their declared charset; undecodable -> NULL."""
+    p = read_table(spark, sf_dir, "pages", "page_id", "html")
+    latin = F.pmod("page_id", F.lit(4)) == 1
+    charset = F.when(latin, F.lit("ISO-8859-1")).otherwise(F.lit("UTF-8"))
+    content = F.when(latin, F.encode(F.regexp_replace("html", r"[^\x00-\xFF]", ""), "ISO-8859-1")) \
+        .otherwise(F.encode("html", "UTF-8"))
+    landed = p.select("page_id", charset.alias("charset"), content.alias("content"))
+    bad = spark.range(1).select(F.lit(-1).cast("long").alias("page_id"), F.lit("UTF-8").alias("charset"),
+                                F.unhex(F.lit("FF41")).alias("content"))
+    dec = landed.unionByName(bad).withColumn("text", H.decode_body("content", "charset"))
+    return dec.select("page_id", "charset", F.col("text").isNotNull().alias("ok"),
+                      F.length("text").alias("n_chars"), F.md5(F.col("text")).alias("text_md5"))

@@ -310,3 +310,57 @@ corpus AS (
   SELECT doc_id AS id, NULL::VARCHAR AS url, text AS article, NULL::VARCHAR AS published
   FROM documents WHERE {S.word_count('text')} < 1200
 )""", 5, False))
+
+
+# ---------------------------------------------------------------- metrics
+
+sql("metric_compare", f"""
+WITH s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS id,
+         {S.dot('q.embedding', 'c.embedding')} AS d,
+         list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS cs,
+         -{S.euclid('q.embedding', 'c.embedding')} AS eu
+  FROM embeddings q, embeddings c
+),
+r AS (
+  SELECT query_id, id,
+         row_number() OVER (PARTITION BY query_id ORDER BY {S.key('d')} DESC, id) AS rd,
+         row_number() OVER (PARTITION BY query_id ORDER BY {S.key('cs')} DESC, id) AS rc,
+         row_number() OVER (PARTITION BY query_id ORDER BY {S.key('eu')} DESC, id) AS re
+  FROM s
+),
+top AS (SELECT query_id, id FROM r WHERE rd <= 10)
+SELECT t.query_id,
+       count(*) FILTER (WHERE r.rc <= 10) AS overlap_cosine,
+       count(*) FILTER (WHERE r.re <= 10) AS overlap_euclidean
+FROM top t JOIN r USING (query_id, id) GROUP BY t.query_id
+""")
+
+
+# ---------------------------------------------------------------- URL files, collection, requests
+
+sql("url_scan", f"WITH {S.URLS.strip()} SELECT source, regexp_replace(url, '\\s+$', '', 'g') AS url FROM urls")
+sql("url_sink_roundtrip", f"WITH {S.URLS.strip()} SELECT url FROM urls")
+sql("url_slice", f"""
+WITH {S.URLS.strip()},
+p AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY seq) - 1) AS pos, url FROM urls)
+SELECT source, pos, url FROM p WHERE pos >= 10 AND pos < 60
+""")
+sql("multi_source_urls", f"""
+WITH {S.URLS.strip()}
+SELECT source, count(*) AS n_urls, count(DISTINCT url) AS n_distinct FROM urls GROUP BY source
+""")
+sql("collection_init", f"""
+WITH {S.ROUTED.strip()}
+SELECT 'pages' AS name, 384 AS dim, 'dot' AS metric, count(*) AS n_points FROM routed WHERE route = 'accepted'
+""")
+sql("decode_pages", """
+WITH d AS (
+  SELECT page_id,
+         CASE WHEN page_id % 4 = 1 THEN 'ISO-8859-1' ELSE 'UTF-8' END AS charset,
+         CASE WHEN page_id % 4 = 1 THEN regexp_replace(html, '[^\\x00-\\xFF]', '', 'g') ELSE html END AS text
+  FROM pages
+  UNION ALL SELECT -1, 'UTF-8', NULL
+)
+SELECT page_id, charset, text IS NOT NULL AS ok, length(text)::INTEGER AS n_chars, md5(text) AS text_md5 FROM d
+""")
