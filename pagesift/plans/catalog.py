@@ -504,3 +504,36 @@ def q_decode_pages(spark, sf_dir):
     dec = landed.unionByName(bad).withColumn("text", H.decode_body("content", "charset"))
     return dec.select("page_id", "charset", F.col("text").isNotNull().alias("ok"),
                       F.length("text").alias("n_chars"), F.md5(F.col("text")).alias("text_md5"))
+
+
+# ---------------------------------------------------------------- streaming
+
+from ..streaming import ingest_stream as RS1  # noqa: E402
+from ..streaming import search_stream as RS2  # noqa: E402
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Landed pages streamed in four micro-batches into a fresh collection;
+    the final points equal the batch ingest up to id order."""
+    work = shared_path(spark, "stream-ingest-" + uuid.uuid4().hex)
+    points, _ = RS1.stream_ingest(spark, X.fetched_pages(spark, sf_dir), _urls(spark, sf_dir), work, HASH)
+    return points.select(F.col("payload.url").alias("url"), vec_nnz("vector").alias("nnz"),
+                         vec_fp("vector").alias("fp"))
+
+
+def conversation_queries(spark, sf_dir):
+    """User turns of the conversations table as a query stream."""
+    c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return c.where(F.col("role") == "user").select(
+        (F.col("conv_id") * 10000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+
+
+@register("stream_search")
+def q_stream_search(spark, sf_dir):
+    """R2: user turns answered per micro-batch against the page collection, k=3."""
+    points, articles, _ = pages_collection(spark, sf_dir)
+    points, articles = points.persist(), articles.persist()
+    work = shared_path(spark, "stream-search-" + uuid.uuid4().hex)
+    res = RS2.stream_search(spark, conversation_queries(spark, sf_dir), points, articles, HASH, SEARCH_K, work)
+    return res.select("query_id", "rank", "date", "url", "score", "sentence", "sentence_distance")

@@ -268,11 +268,16 @@ FROM routed
 
 # ---------------------------------------------------------------- search
 
-def _search_sql(corpus_cte: str, k: int, with_url: bool) -> str:
+_BENCH_Q = "SELECT item_id AS query_id, text FROM benchmark"
+_CONV_Q = "SELECT conv_id * 10000 + turn AS query_id, text FROM conversations WHERE role = 'user'"
+
+
+def _search_sql(corpus_cte: str, k: int, with_url: bool, queries: str = _BENCH_Q) -> str:
     return f"""
 WITH {corpus_cte.strip()},
 pts AS (SELECT id, url, article, published, {S.hash_vec('article')} AS v FROM corpus),
-q AS (SELECT item_id AS query_id, {S.hash_vec('text')} AS qv FROM benchmark WHERE text IS NOT NULL AND text <> ''),
+qt AS ({queries}),
+q AS (SELECT query_id, {S.hash_vec('text')} AS qv FROM qt WHERE text IS NOT NULL AND text <> ''),
 s AS (SELECT q.query_id, pts.id, pts.url, pts.published, {S.dot('pts.v', 'q.qv')} AS raw FROM q, pts),
 hits AS (
   SELECT query_id, id, url, published, round(raw, 6) AS score,
@@ -364,3 +369,19 @@ WITH d AS (
 )
 SELECT page_id, charset, text IS NOT NULL AS ok, length(text)::INTEGER AS n_chars, md5(text) AS text_md5 FROM d
 """)
+
+
+_PAGES_CORPUS = f"""
+{S.ROUTED.strip()},
+corpus AS (
+  SELECT row_number() OVER (ORDER BY source, seq) AS id, url, article, published
+  FROM routed WHERE route = 'accepted'
+)"""
+
+sql("stream_search", _search_sql(_PAGES_CORPUS, 3, True, _CONV_Q))
+
+sql("stream_ingest", f"""
+WITH {S.ROUTED.strip()}
+SELECT url, {S.vec_nnz('v')} AS nnz, {S.vec_fp('v')} AS fp
+FROM (SELECT url, {S.hash_vec('article')} AS v FROM routed WHERE route = 'accepted')
+""")
