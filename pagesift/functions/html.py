@@ -59,26 +59,27 @@ def strip_noise(html) -> Column:
     return F.regexp_replace(_c(html), NOISE_RE, "")
 
 
-def paragraphs(html) -> Column:
+def paragraphs(html, cleaned: bool = False) -> Column:
     """text of every <p> element in document order (array<string>).
 
     A <p> ends at </p>, at the next <p>, or at a block-level start or end
     tag; inner tags are dropped with nothing in between; entities decoded.
+    ``cleaned``: ``html`` already went through ``strip_noise``.
     """
-    marked = F.regexp_replace(strip_noise(html), P_START_RE, MARK)
+    marked = F.regexp_replace(_c(html) if cleaned else strip_noise(html), P_START_RE, MARK)
     pieces = F.filter(F.split(marked, MARK, -1), lambda x, i: i > 0)
     return F.transform(pieces, lambda x: decode_entities(
         F.regexp_replace(F.regexp_replace(x, P_CUT_RE, ""), TAG_RE, "")))
 
 
-def article_text(html) -> Column:
+def article_text(html, cleaned: bool = False) -> Column:
     """A5: paragraphs joined by one space; no paragraph gives ''."""
-    return F.array_join(paragraphs(html), " ")
+    return F.array_join(paragraphs(html, cleaned), " ")
 
 
-def published(html) -> Column:
+def published(html, cleaned: bool = False) -> Column:
     """raw text of the first <time> element, NULL when there is none."""
-    m = F.regexp_extract(strip_noise(html), TIME_RE, 0)
+    m = F.regexp_extract(_c(html) if cleaned else strip_noise(html), TIME_RE, 0)
     return F.when(m != "", decode_entities(F.regexp_replace(m, TAG_RE, "")))
 
 

@@ -4,7 +4,8 @@
 task. Instead: range-sort, checkpoint into the shared folder (so partition
 contents are fixed even if an executor is lost and a task re-runs), count
 rows per partition (one row per partition), turn the counts into offsets and
-add each row's index inside its partition.
+add each row's index inside its partition. Only the per-partition counts
+(one row per partition) are broadcast.
 """
 
 from __future__ import annotations
@@ -22,7 +23,14 @@ def dense_index(df: DataFrame, order_cols: list[str], start: int | None = 1,
     ``order_cols`` must be a total order (unique) for the ids to be
     reproducible. ``start_col`` names a column holding the start instead.
     """
-    ordered = cut_lineage(df.orderBy(*order_cols))
+    # The range sort samples its input before sorting it; persisting first
+    # keeps expensive upstream projections (regexps, joins) from running twice.
+    # An explicit partition count (at least the cluster's parallelism) keeps
+    # AQE from folding CPU-heavy rows into a couple of byte-sized partitions.
+    src = df.persist()
+    n = max(src.rdd.getNumPartitions(), src.sparkSession.sparkContext.defaultParallelism)
+    ordered = cut_lineage(src.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
+    src.unpersist()
     with_pid = ordered.withColumn("_pid", F.spark_partition_id())
     counts = with_pid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: the bound is the partition count, not the data.

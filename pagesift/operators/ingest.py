@@ -30,16 +30,27 @@ def strip_url(url) -> Column:
 
 
 def fetch_outcome(urls: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Every listed URL with its fetch result (NULL status = never fetched)."""
+    """Every listed URL with its fetch result (NULL status = never fetched).
+
+    The fetched side is large (it grows with the crawl), so it is never
+    broadcast: sort-merge on url, which becomes shuffle-free when both tables
+    are bucketed by url; AQE still splits a skewed url.
+    """
     u = urls.select("source", "seq", strip_url("url").alias("url"))
-    f = fetched.select("url", "status", "html")
+    f = fetched.drop("source", "seq", "page_id").hint("merge")
     return u.join(f, "url", "left")
 
 
 def with_articles(df: DataFrame) -> DataFrame:
-    """F2/F3/A7 once per page: article text, publishing date, word count."""
-    return (df.withColumn("article", H.article_text("html"))
-            .withColumn("published", H.published("html"))
+    """F2/F3/A7 once per page: article text, publishing date, word count.
+
+    Comments, scripts and styles are stripped once and shared by the
+    paragraph and date rules; the html column is dropped afterwards.
+    """
+    return (df.withColumn("_clean", H.strip_noise("html"))
+            .withColumn("article", H.article_text("_clean", cleaned=True))
+            .withColumn("published", H.published("_clean", cleaned=True))
+            .drop("_clean", "html")
             .withColumn("n_words", T.word_count("article")))
 
 
@@ -54,8 +65,13 @@ def route_col(max_words: int = MAX_WORDS) -> Column:
 
 
 def route(urls: DataFrame, fetched: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """(source, seq, url, status, article, published, n_words, route)."""
-    return with_articles(fetch_outcome(urls, fetched)).withColumn("route", route_col(max_words)).drop("html")
+    """(source, seq, url, status, article, published, n_words, route).
+
+    HTML is reduced to article text where the fetched rows live (a narrow
+    projection), so the join moves article text, not pages.
+    """
+    pages = with_articles(fetched.select("url", "status", "html"))
+    return fetch_outcome(urls, pages).withColumn("route", route_col(max_words))
 
 
 def rejects(routed: DataFrame) -> DataFrame:

@@ -214,7 +214,8 @@ def _done(spark, sf_dir):
 
 @register("fetch_outcome")
 def q_fetch_outcome(spark, sf_dir):
-    o = I.fetch_outcome(_urls(spark, sf_dir), X.fetched_pages(spark, sf_dir))
+    f = X.fetched_pages(spark, sf_dir).select("url", "status")
+    o = I.fetch_outcome(_urls(spark, sf_dir), f)
     return o.select("source", "seq", "url", "status", F.col("status").isNotNull().alias("fetched"))
 
 

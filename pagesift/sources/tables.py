@@ -7,13 +7,29 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("pages", "documents", "embeddings", "benchmark", "conversations")
+# Tables whose rows carry long text: per-row regexp work dominates, so a scan
+# with fewer splits than cores is spread before any expensive projection.
+TEXT_TABLES = ("pages", "documents", "conversations")
 
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin to the cluster's parallelism when the scan has fewer splits.
+
+    A large table already yields many splits (one per file block), so this is
+    a no-op at scale; it only keeps a one-row-group file from running every
+    per-row regexp on a single core.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Parquet scan; naming the columns keeps the ReadSchema minimal."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    if columns:
+        df = df.select(*columns)
+    return spread(df) if name in TEXT_TABLES else df
