@@ -538,3 +538,34 @@ def q_stream_search(spark, sf_dir):
     work = shared_path(spark, "stream-search-" + uuid.uuid4().hex)
     res = RS2.stream_search(spark, conversation_queries(spark, sf_dir), points, articles, HASH, SEARCH_K, work)
     return res.select("query_id", "rank", "date", "url", "score", "sentence", "sentence_distance")
+
+
+# ---------------------------------------------------------------- sentence-level and sparse search
+
+SENT_ID_BASE = 1_000_000  # sentence id = doc_id * base + pos (pos < base: texts are < 1M sentences)
+
+
+@register("best_sentence")
+def q_best_sentence(spark, sf_dir):
+    """A6/F6 over the whole corpus: per benchmark query, the sentence of any
+    document nearest by Euclidean distance (ties: doc_id, then position)."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    s = d.select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
+    s = s.select((F.col("doc_id") * SENT_ID_BASE + F.col("pos")).alias("id"), "sentence",
+                 HASH.column("sentence").alias("vector"))
+    q = benchmark_queries(spark, sf_dir).select("query_id", HASH.column("query").alias("vector"))
+    best = topk.vector_topk(s, q, 1, metric="euclidean", carry=["sentence"], dim=HASH.dim)
+    return best.select("query_id", F.floor(F.col("id") / SENT_ID_BASE).alias("doc_id"),
+                       (F.col("id") % SENT_ID_BASE).cast("int").alias("pos"), "sentence",
+                       F.abs("score").alias("sentence_distance"))
+
+
+@register("lexical_topk")
+def q_lexical_topk(spark, sf_dir):
+    """Documents stored as sparse (bucket, weight) vectors, top-5 per
+    benchmark query; same ranking as the dense plan."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text").where(T.under_length("text"))
+    pts = d.select(F.col("doc_id").alias("id"), HASH.sparse("text").alias("vector"))
+    q = benchmark_queries(spark, sf_dir).select("query_id", HASH.column("query").alias("vector"))
+    res = topk.vector_topk(pts, q, DOC_SEARCH_K, sparse=True, dim=HASH.dim)
+    return res.select("query_id", "rank", F.col("id").alias("doc_id"), "score")

@@ -385,3 +385,29 @@ WITH {S.ROUTED.strip()}
 SELECT url, {S.vec_nnz('v')} AS nnz, {S.vec_fp('v')} AS fp
 FROM (SELECT url, {S.hash_vec('article')} AS v FROM routed WHERE route = 'accepted')
 """)
+
+
+# ---------------------------------------------------------------- sentence-level and sparse search
+
+sql("best_sentence", f"""
+WITH s AS (
+  SELECT doc_id, (pos - 1)::INTEGER AS pos, sentence FROM (
+    SELECT doc_id, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS pos
+    FROM (SELECT doc_id, {S.sentences('text')} AS s FROM documents))
+),
+sv AS (SELECT doc_id, pos, sentence, {S.hash_vec('sentence')} AS v FROM s),
+q AS (SELECT item_id AS query_id, {S.hash_vec('text')} AS qv FROM benchmark WHERE text IS NOT NULL),
+d AS (SELECT q.query_id, sv.doc_id, sv.pos, sv.sentence, {S.euclid('sv.v', 'q.qv')} AS dist FROM q, sv)
+SELECT query_id, doc_id, pos, sentence, abs(round(-dist, 6)) AS sentence_distance FROM d
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {S.key('-dist')} DESC, doc_id, pos) = 1
+""")
+
+sql("lexical_topk", f"""
+WITH pts AS (SELECT doc_id, {S.hash_vec('text')} AS v FROM documents WHERE {S.word_count('text')} < 1200),
+q AS (SELECT item_id AS query_id, {S.hash_vec('text')} AS qv FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT q.query_id, pts.doc_id, {S.dot('pts.v', 'q.qv')} AS raw FROM q, pts)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT query_id, doc_id, round(raw, 6) AS score,
+         row_number() OVER (PARTITION BY query_id ORDER BY {S.key('raw')} DESC, doc_id) AS rank FROM s)
+WHERE rank <= 5
+""")
