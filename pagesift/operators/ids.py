@@ -27,8 +27,9 @@ def dense_index(df: DataFrame, order_cols: list[str], start: int | None = 1,
     # keeps expensive upstream projections (regexps, joins) from running twice.
     # An explicit partition count (at least the cluster's parallelism) keeps
     # AQE from folding CPU-heavy rows into a couple of byte-sized partitions.
+    spark = df.sparkSession
     src = df.persist()
-    n = max(src.rdd.getNumPartitions(), src.sparkSession.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ordered = cut_lineage(src.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
     src.unpersist()
     with_pid = ordered.withColumn("_pid", F.spark_partition_id())

@@ -64,14 +64,33 @@ def route_col(max_words: int = MAX_WORDS) -> Column:
             .otherwise(F.lit(ACCEPTED)))
 
 
-def route(urls: DataFrame, fetched: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+# Row bound for shipping a URL batch to every task (source, seq, url: ~100 B a row).
+BROADCAST_URL_ROWS = 1_000_000
+
+
+def route(urls: DataFrame, fetched: DataFrame, max_words: int = MAX_WORDS,
+          broadcast_rows: int = BROADCAST_URL_ROWS) -> DataFrame:
     """(source, seq, url, status, article, published, n_words, route).
 
-    HTML is reduced to article text where the fetched rows live (a narrow
-    projection), so the join moves article text, not pages.
+    Small URL batch (counted; incremental runs, resumes, streams): the batch
+    is broadcast and the fetched pages are streamed where they are - no page
+    is shuffled and only listed pages are reduced to text; never-fetched
+    URLs come from a light anti join on url. Large batch: HTML is reduced
+    to article text where the pages live, and a sort-merge join on url moves
+    article text, not pages.
     """
-    pages = with_articles(fetched.select("url", "status", "html"))
-    return fetch_outcome(urls, pages).withColumn("route", route_col(max_words))
+    u = urls.select("source", "seq", strip_url("url").alias("url"))
+    f = fetched.select("url", "status", "html")
+    if u.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        found = with_articles(f.join(F.broadcast(u), "url"))
+        missing = (u.join(f.select("url"), "url", "left_anti")
+                   .select("url", "source", "seq", *[F.lit(None).cast(t).alias(c) for c, t in
+                                                     [("status", "int"), ("article", "string"),
+                                                      ("published", "string"), ("n_words", "int")]]))
+        routed = found.unionByName(missing)
+    else:
+        routed = fetch_outcome(u, with_articles(f))
+    return routed.withColumn("route", route_col(max_words))
 
 
 def rejects(routed: DataFrame) -> DataFrame:
@@ -133,7 +152,8 @@ def ingest(urls: DataFrame, fetched: DataFrame, encoder: Encoder, existing: Data
     skipped (J6). Ids continue after ``existing``.
     """
     todo = pending_urls(urls, done) if done is not None else urls
-    routed = route(todo, fetched, max_words)
+    # Routed rows feed both the accepted path and the rejects: computed once.
+    routed = route(todo, fetched, max_words).persist()
     acc = accepted(routed).select("source", "seq", "url", "article", "published", "n_words")
     with_ids = assign_ids(acc, next_id(existing))
     points = build_points(with_ids, encoder)

@@ -7,9 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("pages", "documents", "embeddings", "benchmark", "conversations")
-# Tables whose rows carry long text: per-row regexp work dominates, so a scan
-# with fewer splits than cores is spread before any expensive projection.
-TEXT_TABLES = ("pages", "documents", "conversations")
+# Columns carrying long text: per-row regexp work dominates, so a scan that
+# selects one of them with fewer splits than cores is spread first.
+HEAVY_COLUMNS = ("html", "text")
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -24,6 +24,7 @@ def spread(df: DataFrame) -> DataFrame:
     per-row regexp on a single core.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
+    # Only ever called on a bare (projected) scan: its RDD is built without running anything.
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
@@ -32,4 +33,5 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     df = spark.read.parquet(table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
-    return spread(df) if name in TEXT_TABLES else df
+    heavy = any(c in HEAVY_COLUMNS for c in (columns or df.columns))
+    return spread(df) if heavy else df
