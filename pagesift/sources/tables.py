@@ -7,8 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("pages", "documents", "embeddings", "benchmark", "conversations")
-# Columns carrying long text: per-row regexp work dominates, so a scan that
-# selects one of them with fewer splits than cores is spread first.
+# Tables whose rows carry long text, and those columns: per-row regexp work
+# dominates, so a scan selecting one with fewer splits than cores is spread.
+TEXT_TABLES = ("pages", "documents", "conversations")
 HEAVY_COLUMNS = ("html", "text")
 
 
@@ -33,5 +34,5 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     df = spark.read.parquet(table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
-    heavy = any(c in HEAVY_COLUMNS for c in (columns or df.columns))
+    heavy = name in TEXT_TABLES and any(c in HEAVY_COLUMNS for c in (columns or df.columns))
     return spread(df) if heavy else df
