@@ -144,16 +144,32 @@ def next_id(points: DataFrame | None) -> int:
     return int(max(row["n"] or 0, row["m"] or 0)) + 1
 
 
+def progress_metrics() -> list[Column]:
+    """Counters of one ingest run (the reference prints them as it goes)."""
+    r = F.col("route")
+    return [F.count(F.lit(1)).alias("n_listed"),
+            F.count_if(r == ACCEPTED).alias("n_accepted"),
+            F.count_if(r == TOO_LONG).alias("n_too_long"),
+            F.count_if(r == HTTP_410).alias("n_http_410"),
+            F.count_if(r == HTTP_ERROR).alias("n_http_error"),
+            F.count_if(r == NOT_FETCHED).alias("n_not_fetched")]
+
+
 def ingest(urls: DataFrame, fetched: DataFrame, encoder: Encoder, existing: DataFrame | None = None,
-           done: DataFrame | None = None, max_words: int = MAX_WORDS):
+           done: DataFrame | None = None, max_words: int = MAX_WORDS, observation=None):
     """Returns (points, articles, rejects) DataFrames for one ingest run.
 
     ``done`` holds (source, url) already indexed or rejected; those are
-    skipped (J6). Ids continue after ``existing``.
+    skipped (J6). Ids continue after ``existing``. An ``Observation`` passed
+    in receives the progress counters as a side effect of the run's first
+    action (no extra job).
     """
     todo = pending_urls(urls, done) if done is not None else urls
+    routed = route(todo, fetched, max_words)
+    if observation is not None:
+        routed = routed.observe(observation, *progress_metrics())
     # Routed rows feed both the accepted path and the rejects: computed once.
-    routed = route(todo, fetched, max_words).persist()
+    routed = routed.persist()
     acc = accepted(routed).select("source", "seq", "url", "article", "published", "n_words")
     with_ids = assign_ids(acc, next_id(existing))
     points = build_points(with_ids, encoder)

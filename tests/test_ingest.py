@@ -43,6 +43,17 @@ def test_resume_skips_done_and_ids_continue(spark):
     assert sorted(r.id for r in p1.collect()) == list(range(1, n1 + 1))
 
 
+def test_ingest_progress_observation(spark):
+    from pyspark.sql import Observation
+    urls, fetched = X.url_lists(spark, SF_SMALL), X.fetched_pages(spark, SF_SMALL)
+    obs = Observation("progress")
+    points, _, rejects = I.ingest(urls, fetched, HashEncoder(), observation=obs)
+    m = obs.get
+    assert m["n_listed"] == urls.count()
+    assert m["n_accepted"] == points.count()
+    assert m["n_listed"] - m["n_accepted"] == rejects.count()
+
+
 def test_upsert_is_keyed_and_idempotent(spark):
     old = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id long, vector array<float>")
     new = spark.createDataFrame([(2, [9.0]), (3, [3.0])], "id long, vector array<float>")
