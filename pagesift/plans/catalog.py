@@ -569,3 +569,16 @@ def q_lexical_topk(spark, sf_dir):
     q = benchmark_queries(spark, sf_dir).select("query_id", HASH.column("query").alias("vector"))
     res = topk.vector_topk(pts, q, DOC_SEARCH_K, sparse=True, dim=HASH.dim)
     return res.select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+# ---------------------------------------------------------------- sitemap files
+
+from ..sources import sitemaps as SM  # noqa: E402
+
+
+@register("sitemap_files")
+def q_sitemap_files(spark, sf_dir):
+    """S1 (files): sitemaps landed as XML files, read back with the XML source (rowTag url)."""
+    path = shared_path(spark, "sitemaps-" + uuid.uuid4().hex)
+    SM.write_sitemap_files(X.sitemap_docs(spark, sf_dir), path)
+    return SM.read_sitemap_files(spark, path).select("doc_url", F.col("loc").alias("url"))

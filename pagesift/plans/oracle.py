@@ -411,3 +411,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
          row_number() OVER (PARTITION BY query_id ORDER BY {S.key('raw')} DESC, doc_id) AS rank FROM s)
 WHERE rank <= 5
 """)
+
+
+sql("sitemap_files", f"""
+WITH {S.SITEMAPS.strip()}
+SELECT smx.doc_url, hp.url FROM hp JOIN smx USING (host, chunk)
+""")

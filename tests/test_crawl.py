@@ -60,3 +60,16 @@ def test_crawl_end_to_end(spark):
     assert [r.url for r in rows] == ["https://s/a", "https://s/a"]  # duplicates kept
     stats = {(r.site, r.sitemap): r.n_links for r in C.crawl_stats(C.crawl(cfg, idx, sm)).collect()}
     assert stats[(None, None)] == 2 and stats[("s", None)] == 2
+
+
+def test_sitemap_files_reader(spark, tmp_dir):
+    import os
+    from pagesift.sources import sitemaps as SM
+    docs = spark.createDataFrame([
+        ("a", f"<urlset {NS}><url><loc>https://a/1?x=1&amp;y=2</loc></url><url/><url><loc>https://a/2</loc></url></urlset>"),
+        ("b", f"<urlset {NS}><url><loc>https://b/1</loc></url></urlset>"),
+    ], "doc_url string, xml string")
+    path = os.path.join(tmp_dir, "sm")
+    SM.write_sitemap_files(docs, path)
+    got = sorted((r.doc_url, r.loc) for r in SM.read_sitemap_files(spark, path).collect())
+    assert got == [("a", "https://a/1?x=1&y=2"), ("a", "https://a/2"), ("b", "https://b/1")]
