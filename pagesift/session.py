@@ -73,8 +73,9 @@ _SHIPPED: set[int] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``pagesift`` importable in Python workers (addPyFile of a zip).
 
-    Needed on a cluster and whenever the driver's working directory is not
-    the repository; done once per SparkContext.
+    Needed when the package was not submitted with ``--py-files`` and the
+    driver's working directory is not the repository; done once per
+    SparkContext. The zip is staged on the driver and distributed by Spark.
     """
     import zipfile
 
@@ -82,6 +83,10 @@ def ship_package(spark: SparkSession) -> None:
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
+    # Submitted with --py-files (the usual cluster path): nothing to do.
+    if "pagesift" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        _SHIPPED.add(key)
+        return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="pagesift-py-"), "pagesift.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
