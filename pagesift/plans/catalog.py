@@ -582,3 +582,13 @@ def q_sitemap_files(spark, sf_dir):
     path = shared_path(spark, "sitemaps-" + uuid.uuid4().hex)
     SM.write_sitemap_files(X.sitemap_docs(spark, sf_dir), path)
     return SM.read_sitemap_files(spark, path).select("doc_url", F.col("loc").alias("url"))
+
+
+@register("rejects_sink")
+def q_rejects_sink(spark, sf_dir):
+    """Rejects appended per reason (two appends: one per source), read back."""
+    path = shared_path(spark, "rejects-" + uuid.uuid4().hex)
+    rej = I.rejects(_routed(spark, sf_dir)).persist()
+    CO.write_rejects(rej.where(F.col("source") == "source0"), path)
+    CO.write_rejects(rej.where(F.col("source") != "source0"), path)
+    return spark.read.parquet(path).select("source", "url", "status", "reason")

@@ -417,3 +417,8 @@ sql("sitemap_files", f"""
 WITH {S.SITEMAPS.strip()}
 SELECT smx.doc_url, hp.url FROM hp JOIN smx USING (host, chunk)
 """)
+
+sql("rejects_sink", f"""
+WITH {S.ROUTED.strip()}
+SELECT source, url, status, route AS reason FROM routed WHERE route <> 'accepted'
+""")
