@@ -104,14 +104,18 @@ def accepted(routed: DataFrame) -> DataFrame:
 
 
 def pending_urls(urls: DataFrame, done: DataFrame) -> DataFrame:
-    """Listed URLs not yet indexed or rejected, keyed by (source, url)."""
-    d = done.select("source", strip_url("url").alias("url")).distinct()
+    """Listed URLs not yet indexed or rejected, keyed by (source, url).
+
+    No distinct on ``done``: a semi/anti join never multiplies rows, so a
+    deduplicating shuffle would be wasted.
+    """
+    d = done.select("source", strip_url("url").alias("url"))
     return urls.withColumn("url", strip_url("url")).join(d, ["source", "url"], "left_anti")
 
 
 def indexed_urls(urls: DataFrame, done: DataFrame) -> DataFrame:
     """Listed URLs already in the collection."""
-    d = done.select("source", strip_url("url").alias("url")).distinct()
+    d = done.select("source", strip_url("url").alias("url"))
     return urls.withColumn("url", strip_url("url")).join(d, ["source", "url"], "left_semi")
 
 
