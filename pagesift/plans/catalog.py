@@ -76,7 +76,6 @@ def q_vector_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ..functions import encoders as E  # noqa: E402
 from ..functions import html as H  # noqa: E402
 from ..functions import text as T  # noqa: E402
-from ..functions.vectors import dot as _dot  # noqa: E402,F401
 from ..sources import fixtures as X  # noqa: E402
 
 HASH = E.HashEncoder()

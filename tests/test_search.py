@@ -1,6 +1,5 @@
 """Search quality with known answers, sparse = dense, two-stage result shape."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
