@@ -101,3 +101,13 @@ def test_model_encoder_batches(spark):
     enc = ModelEncoder(make, dim=2, batch_size=3)
     df = spark.createDataFrame([("aa",), ("b",), ("abca",), ("",)], "t string")
     assert [list(r[0]) for r in df.select(enc.column("t")).collect()] == [[2, 2], [1, 0], [4, 2], [0, 0]]
+
+
+def test_route_paths_agree(spark):
+    """The broadcast path (small URL batch) and the sort-merge path (above the
+    bound) route every URL identically."""
+    urls, fetched = X.url_lists(spark, SF_SMALL), X.fetched_pages(spark, SF_SMALL)
+    cols = ["source", "seq", "url", "status", "article", "published", "n_words", "route"]
+    small = sorted(tuple(r) for r in I.route(urls, fetched).select(*cols).collect())
+    large = sorted(tuple(r) for r in I.route(urls, fetched, broadcast_rows=0).select(*cols).collect())
+    assert small == large and len(small) == urls.count()
