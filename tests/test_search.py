@@ -39,3 +39,13 @@ def test_search_result_shape(spark):
         assert [r.rank for r in rs] == list(range(1, len(rs) + 1)) and len(rs) <= 3
         assert all(x.score >= y.score for x, y in zip(rs, rs[1:]))
         assert all(r.sentence is None or r.sentence_distance >= 0 for r in rs)
+
+
+def test_search_blocked_plan_equals_broadcast_plan(spark):
+    from pagesift.operators import search as SR
+    points, articles, _ = C.pages_collection(spark, SF_SMALL)
+    q = C.benchmark_queries(spark, SF_SMALL)
+    a = SR.search(points, articles, q, C.HASH, 3)
+    b = SR.search(points, articles, q, C.HASH, 3, max_broadcast_bytes=20_000)  # forces query chunks
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(a) == key(b) and len(key(a)) > 0
