@@ -176,15 +176,16 @@ def q_sitemap_links(spark, sf_dir):
 @register("keyword_filter")
 def q_keyword_filter(spark, sf_dir):
     """Sitemap entries of every site index kept by the three keywords."""
-    cfg = X.crawl_config(spark, sf_dir, SITEMAP_KEYWORDS)
-    return C.sitemap_entries(cfg, X.sitemap_index_docs(spark, sf_dir))
+    idx = X.sitemap_index_docs(spark, sf_dir)
+    return C.sitemap_entries(X.crawl_config(spark, sf_dir, SITEMAP_KEYWORDS, idx), idx)
 
 
 @register("crawl")
 def q_crawl(spark, sf_dir):
     """E5: index -> kept sitemaps -> article URLs."""
-    cfg = X.crawl_config(spark, sf_dir, SITEMAP_KEYWORDS)
-    return C.crawl(cfg, X.sitemap_index_docs(spark, sf_dir), X.sitemap_docs(spark, sf_dir))
+    docs = X.sitemap_docs(spark, sf_dir)
+    idx = X.sitemap_index_docs(spark, sf_dir)
+    return C.crawl(X.crawl_config(spark, sf_dir, SITEMAP_KEYWORDS, idx), idx, docs)
 
 
 @register("crawl_stats")

@@ -104,7 +104,8 @@ def sitemap_index_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(f'<sitemapindex xmlns="{SITEMAP_NS}">'), body, F.lit("</sitemapindex>")).alias("xml"))
 
 
-def crawl_config(spark: SparkSession, sf_dir: str, keywords: list[str]) -> DataFrame:
+def crawl_config(spark: SparkSession, sf_dir: str, keywords: list[str],
+                 index_docs: DataFrame | None = None) -> DataFrame:
     """(site, index_url, keywords): one row per site index to crawl."""
-    idx = sitemap_index_docs(spark, sf_dir).select("site", "index_url")
+    idx = (index_docs if index_docs is not None else sitemap_index_docs(spark, sf_dir)).select("site", "index_url")
     return idx.withColumn("keywords", F.array(*[F.lit(k) for k in keywords]).cast("array<string>"))
