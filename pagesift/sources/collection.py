@@ -59,9 +59,14 @@ def read_points(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def checked(points: DataFrame, dim: int) -> DataFrame:
-    """Vectors must have the collection's dimension (fails the job otherwise)."""
-    return points.withColumn("_chk", F.assert_true(F.size("vector") == F.lit(dim), "vector dimension mismatch")) \
-        .drop("_chk")
+    """Vectors must have the collection's dimension (fails the job otherwise).
+
+    The check lives inside the kept ``vector`` expression; a separate check
+    column that is dropped afterwards would be pruned away by the optimizer.
+    """
+    ok = F.size("vector") == F.lit(dim)
+    return points.withColumn("vector", F.when(ok, F.col("vector")).otherwise(
+        F.raise_error(F.lit(f"vector dimension differs from the collection's {dim}"))))
 
 
 def write_points(spark: SparkSession, root: str, points: DataFrame, dim: int) -> int:

@@ -111,3 +111,13 @@ def test_route_paths_agree(spark):
     small = sorted(tuple(r) for r in I.route(urls, fetched).select(*cols).collect())
     large = sorted(tuple(r) for r in I.route(urls, fetched, broadcast_rows=0).select(*cols).collect())
     assert small == large and len(small) == urls.count()
+
+
+def test_collection_rejects_wrong_dimension(spark, tmp_dir):
+    import pytest
+    root = os.path.join(tmp_dir, "coll-dim")
+    CO.create_collection(spark, root, "c", 3)
+    bad = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vector array<float>")
+    with pytest.raises(Exception):
+        CO.write_points(spark, root, bad, 3)
+    assert CO.read_points(spark, root) is None  # nothing half-written became a version
