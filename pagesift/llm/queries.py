@@ -8,7 +8,8 @@ def queries() -> dict:
     from .piece_bpe import op8_piece_bpe
     from .simhash_gph import op6_simhash_gph
     from .wu_manber import op5_wu_manber
-    found = [op2_bpe_count, op5_wu_manber, op6_simhash_gph, op8_piece_bpe]
+    from .pii import op10_pii
+    found = [op10_pii, op2_bpe_count, op5_wu_manber, op6_simhash_gph, op8_piece_bpe]
     return {f.__name__: f for f in found}
 
 
