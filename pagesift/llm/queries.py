@@ -8,10 +8,12 @@ def queries() -> dict:
     from .piece_bpe import op8_piece_bpe
     from .simhash_gph import op6_simhash_gph
     from .wu_manber import op5_wu_manber
+    from .chat import op4_chat_round_trip
     from .pii import op10_pii
-    found = [op10_pii, op2_bpe_count, op5_wu_manber, op6_simhash_gph, op8_piece_bpe]
+    found = [op4_chat_round_trip, op10_pii, op2_bpe_count, op5_wu_manber, op6_simhash_gph, op8_piece_bpe]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .chat import OP4_SQL
+    return {"op4_chat_round_trip": OP4_SQL}
