@@ -13,7 +13,8 @@ def queries() -> dict:
     from .quality_rff import op7_quality_rff
     from .rare_digest import op3_rare_digest
     from .katz import op9_katz
-    found = [op9_katz, op3_rare_digest, op7_quality_rff, op4_chat_round_trip, op10_pii, op2_bpe_count, op5_wu_manber, op6_simhash_gph, op8_piece_bpe]
+    from .suffix_dedup import op1_suffix_dedup
+    found = [op1_suffix_dedup, op9_katz, op3_rare_digest, op7_quality_rff, op4_chat_round_trip, op10_pii, op2_bpe_count, op5_wu_manber, op6_simhash_gph, op8_piece_bpe]
     return {f.__name__: f for f in found}
 
 
