@@ -207,5 +207,26 @@ def score_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
     return src.mapInArrow(run, schema)
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                 label_col: str = "quality", holdout: int | None = 1) -> DataFrame:
+    """The rows of docs with a score of 0.5 or more; columns as they were.
+
+    Trained as score_quality does. Texts are read twice and neither shuffled
+    nor written.
+    """
+    held = F.crc32(F.coalesce(col(id_col).cast("string"), F.lit(""))) % 3 == (1 if holdout is None else holdout)
+    known = docs.select(col(id_col).alias("_id_"), held.alias("_held"), col(text_col).alias("_t"))
+    if holdout is not None:
+        known = known.where(~F.col("_held"))
+    truth = labels.groupBy(col(id_col).alias("_id_")).agg(F.avg(col(label_col).cast("double")).alias("_y")).where("_y is not null")
+    model = fit(cut_lineage(describe(known, "_t", ("_id_",)).join(truth, "_id_")))
+
+    def make():
+        return lambda texts: [model.score(np.array([statistics(t) for t in texts]).reshape(-1, N_STATS))]
+
+    scored = map_texts(docs, [("_score_", "double")], make, text_col, tuple(docs.columns))
+    return scored.where("_score_ >= 0.5").select(*[col(c) for c in docs.columns])
+
+
 def op7_quality_rff(spark, sf_dir):
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

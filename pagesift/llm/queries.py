@@ -4,18 +4,21 @@ from __future__ import annotations
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     from .bpe_count import op2_bpe_count
-    from .piece_bpe import op8_piece_bpe
-    from .simhash_gph import op6_simhash_gph
-    from .wu_manber import op5_wu_manber
     from .chat import op4_chat_round_trip
+    from .katz import op9_katz
     from .pii import op10_pii
+    from .piece_bpe import op8_piece_bpe
     from .quality_rff import op7_quality_rff
     from .rare_digest import op3_rare_digest
-    from .katz import op9_katz
+    from .simhash_gph import op6_simhash_gph
     from .suffix_dedup import op1_suffix_dedup
-    found = [op1_suffix_dedup, op9_katz, op3_rare_digest, op7_quality_rff, op4_chat_round_trip, op10_pii, op2_bpe_count, op5_wu_manber, op6_simhash_gph, op8_piece_bpe]
-    return {f.__name__: f for f in found}
+    from .wu_manber import op5_wu_manber
+    found = [op1_suffix_dedup, op2_bpe_count, op3_rare_digest, op4_chat_round_trip, op5_wu_manber, op6_simhash_gph,
+             op7_quality_rff, op8_piece_bpe, op9_katz, op10_pii]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

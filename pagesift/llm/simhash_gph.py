@@ -322,19 +322,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, text_c
     """
     prints = fingerprints(docs, shingle, text_col, tuple(dict.fromkeys((id_col, *keep))), "_fp")
     prints = cut_lineage(prints)
-    return prints.transform(lambda p: with_components(p, id_col, distance)) \
-        .withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp")
+    return with_components(prints, id_col, distance) \
+        .withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp", "_root")
 
 
 def with_components(prints: DataFrame, id_col: str, distance: int) -> DataFrame:
+    """prints with component_id and the component's root fingerprint (_root)."""
     first = cut_lineage(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min(col(id_col)).alias("low")))
     stars = cut_lineage(components(links(first.select("fp"), distance)))
     # Fingerprints with their component's root, then the root's smallest id.
     rooted = first.join(stars, first.fp == stars.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = rooted.join(lows, "root").select(F.col("fp").alias("_fp"), "component_id")
-    out = prints.drop("component_id", "fingerprint") if id_col not in ("component_id", "fingerprint") else prints
-    return out.join(classes, "_fp")
+    classes = rooted.join(lows, "root").select(F.col("fp").alias("_fp"), "component_id", F.col("root").alias("_root"))
+    return prints.select(*[col(c) for c in prints.columns if c.lower() not in ("component_id", "fingerprint")]).join(classes, "_fp")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs without near duplicates: of each component the row of the smallest id.
+
+    Of several rows with that id the one of the smallest text hash stays, of
+    equal rows one; a component of null ids keeps one row. All columns stay.
+    """
+    key = [col(id_col).alias("_id"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("_hash")]
+    prints = cut_lineage(fingerprints(docs.select(*key, col(text_col).alias("_t")), shingle, "_t", ("_id", "_hash"), "_fp"))
+    classed = with_components(prints, "_id", distance)
+    best = classed.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_hash")).alias("w")).select("w._id", "w._hash")
+    marked = docs.select("*", *key).alias("d")
+    best = best.alias("w")
+    same = F.col("d._id").eqNullSafe(F.col("w._id")) & (F.col("d._hash") == F.col("w._hash"))
+    return marked.join(best, same, "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
 
 
 def op6_simhash_gph(spark, sf_dir):
