@@ -1,38 +1,74 @@
 """HTML to text as column expressions.
 
-Every rule is a chain of regexp/array functions so it runs inside
-whole-stage codegen, with no Python on the hot path. The patterns use no
-lookaround so they mean the same in Java regex and RE2.
+Every rule is a chain of regexp and array functions: it runs in the JVM, with
+no Python on the hot path (the functions over arrays are interpreted, not
+compiled by whole-stage codegen). The patterns use no lookaround so they mean
+the same in Java regex and RE2.
 """
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The paragraph split rule.
 MARK = "\x1e"
-NOISE_RE = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
+NOISE_RE = r"(?is)<!--.*?(?:-->|\z)|<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>"
 P_START_RE = r"(?i)<p(\s[^>]*)?>"
-BLOCK_TAGS = ("address article aside blockquote body details div dl fieldset figure footer "
-              "form h1 h2 h3 h4 h5 h6 header hr html main nav ol pre section table ul").split()
+# Start or end tags that end an open paragraph.
+BLOCK_TAGS = ("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure "
+              "footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol pre section table tbody td tfoot th thead "
+              "tr ul").split()
 P_CUT_RE = r"(?is)</p\s*>.*$|</?(" + "|".join(BLOCK_TAGS) + r")[\s>/].*$"
 TAG_RE = r"<[^>]*>"
 TIME_RE = r"(?is)<time(?:\s[^>]*)?>(.*?)</time\s*>"
-# Entity decoding, "&amp;" last so "&amp;lt;" stays "&lt;".
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+# Character references: every HTML5 name that ends with a semicolon (from the standard library's table).
+NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+REFERENCE_RE = r"^(#[0-9]{1,10}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);"
+# Numbers 128 to 159 mean the Windows characters of that byte, where there is one.
+WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _map(d: dict) -> Column:
+    """A constant map (one JSON literal, folded when the query is planned)."""
+    return F.from_json(F.lit(json.dumps(d)), "map<string,string>")
+
+
+def _character(n) -> Column:
+    """The character of a code point; what is none is U+FFFD."""
+    windows = F.try_element_at(_map({k: v for k, v in WINDOWS.items() if v}), n.cast("string"))
+    bad = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    point = F.when(bad, F.lit(0xFFFD)).otherwise(n).cast("long")
+    return F.when(n.between(128, 159), F.coalesce(windows, F.lit("\ufffd"))).otherwise(
+        F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+
+
+def _reference(name) -> Column:
+    """What a character reference (without & and ;) stands for, NULL if nothing."""
+    number = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 10), 16, 10)).otherwise(F.substring(name, 2, 10))
+    named = F.when(name == "amp", "&")
+    for common in ("lt", "gt", "quot", "nbsp"):  # without a search of the whole table
+        named = named.when(name == common, NAMED[common])
+    return F.when(F.startswith(name, F.lit("#")), _character(number.cast("long"))).otherwise(
+        named.otherwise(F.try_element_at(_map(NAMED), name)))
+
+
 def decode_entities(s) -> Column:
-    out = _c(s)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Named (with semicolon) and numeric character references decoded, in one pass."""
+    def part(x, i):
+        name = F.regexp_extract(x, REFERENCE_RE, 1)
+        known = F.when(name != "", _reference(name))
+        return F.when(i == 0, x).when(known.isNotNull(), F.concat(known, F.substring(x, F.length(name) + 2, F.length(x)))) \
+            .otherwise(F.concat(F.lit("&"), x))
+    text = _c(s)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&", -1), part), "")).otherwise(text)
 
 
 def remove_tags(s) -> Column:
@@ -83,13 +119,32 @@ def published(html, cleaned: bool = False) -> Column:
     return F.when(m != "", decode_entities(F.regexp_replace(m, TAG_RE, "")))
 
 
+# UTF-16 as hex, big and little endian: units that are no surrogates, or pairs.
+UTF16_BE_RE = r"^(?:[0-9A-CEF]...|D[0-7]..|D[89AB]..D[C-F]..)*+$"
+UTF16_LE_RE = r"^(?:..(?:[0-9A-CEF].|D[0-7])|..D[89AB]..D[C-F])*+$"
+
+
 def decode_body(content, charset) -> Column:
-    """bytes -> string by declared charset; undecodable bytes -> NULL.
+    """bytes -> string by declared charset; undecodable bytes and unknown charsets -> NULL.
 
-    UTF-8 is validated with try_validate_utf8 (decode() would fail the job);
-    ISO-8859-1 cannot be invalid.
+    UTF-8, US-ASCII, ISO-8859-1, windows-1252, UTF-16 (with byte order mark,
+    else big endian), UTF-16BE and UTF-16LE. Bytes are checked before they
+    are decoded (decode() would fail the job).
     """
-    cs = F.upper(_c(charset))
-    as_utf8 = F.try_validate_utf8(_c(content).cast("string"))
-    return (F.when(cs.isin("UTF-8", "UTF8"), as_utf8)
-            .when(cs.isin("ISO-8859-1", "LATIN1", "ISO8859-1"), F.decode(_c(content), "ISO-8859-1")))
+    raw = _c(content)
+    cs = F.upper(F.trim(_c(charset)))
+    latin = F.decode(raw, "ISO-8859-1")
+    known = {k: v for k, v in WINDOWS.items() if v}
+    windows = F.translate(latin, "".join(map(chr, known)), "".join(known.values()))
+    undefined = "[" + "".join(f"\\x{n:02x}" for n in WINDOWS if n not in known) + "]"
+    code = F.hex(raw)
+    little = F.startswith(code, F.lit("FFFE"))
+    body = F.when(F.startswith(code, F.lit("FEFF")) | little, F.substring(raw, 3, 1 << 30)).otherwise(raw)
+    be = lambda x: F.when(F.hex(x).rlike(UTF16_BE_RE), F.decode(x, "UTF-16BE"))
+    le = lambda x: F.when(F.hex(x).rlike(UTF16_LE_RE), F.decode(x, "UTF-16LE"))
+    return (F.when(cs.isin("UTF-8", "UTF8"), F.try_validate_utf8(raw.cast("string")))
+            .when(cs.isin("US-ASCII", "ASCII"), F.when(~latin.rlike(r"[^\x00-\x7F]"), latin))
+            .when(cs.isin("ISO-8859-1", "LATIN1", "ISO8859-1"), latin)
+            .when(cs.isin("WINDOWS-1252", "CP1252"), F.when(~latin.rlike(undefined), windows))
+            .when(cs == "UTF-16BE", be(raw)).when(cs == "UTF-16LE", le(raw))
+            .when(cs == "UTF-16", F.when(little, le(body)).otherwise(be(body))))

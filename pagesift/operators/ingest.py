@@ -128,7 +128,7 @@ def batch_plan(with_ids: DataFrame, id_start: int, encode_batch: int = ENCODE_BA
                insert_batch: int = INSERT_BATCH) -> DataFrame:
     """Encode and insert batch numbers of each accepted article."""
     if not (encode_batch <= insert_batch and insert_batch % encode_batch == 0):
-        raise ValueError("Encoding and insertion batch sizes incompatible")
+        raise ValueError("the insert batch must be a multiple of the encode batch")
     ordinal = F.col("id") - F.lit(id_start)
     return (with_ids.withColumn("encode_batch", F.floor(ordinal / encode_batch).cast("long"))
             .withColumn("insert_batch", F.floor(ordinal / insert_batch).cast("long")))
@@ -181,6 +181,12 @@ def ingest(urls: DataFrame, fetched: DataFrame, encoder: Encoder, existing: Data
     return points, articles, rejects(routed)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Keyed replacement; rows of ``new`` win, untouched rows kept."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Keyed replacement; rows of ``new`` win, untouched rows kept.
+
+    Of several new rows with one key the one with the greatest ``order``
+    stays (without it, the one with the greatest hash of its values).
+    """
+    last = F.col(order) if order else F.xxhash64(*new.columns)
+    one = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), last).alias("row")).select("row.*")
+    return old.join(one.select(key), key, "left_anti").unionByName(one)

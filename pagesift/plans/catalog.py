@@ -491,20 +491,36 @@ def q_request_urls(spark, sf_dir):
     return p.select("page_id", with_params("url", REQUEST_PARAMS).alias("request_url"))
 
 
+def _decoded_pages(spark, sf_dir):
+    """Every page landed as bytes in one of five charsets, some damaged, and decoded."""
+    p = read_table(spark, sf_dir, "pages", "page_id", "html")
+    m = F.pmod("page_id", F.lit(4))
+    charset = (F.when(m == 1, F.lit("UTF-16LE")).when(m == 2, F.lit("UTF-16BE"))
+               .when((m == 3) & ~F.col("html").rlike(r"[^\x00-\xFF]"), F.lit("ISO-8859-1"))
+               .when(~F.col("html").rlike(r"[^\x00-\x7F]"), F.lit("US-ASCII")).otherwise(F.lit("UTF-8")))
+    content = F.coalesce(*[F.when(charset == c, F.encode("html", c)) for c in ("UTF-16LE", "UTF-16BE", "ISO-8859-1", "US-ASCII", "UTF-8")])
+    landed = p.select("page_id", charset.alias("charset"), content.alias("content"))
+    # Every 50th page a second time, cut short or under a charset that it is not in.
+    again = landed.where("page_id % 50 = 0").select(
+        (-F.col("page_id") - 1).alias("page_id"),
+        F.when(F.col("page_id") % 100 == 0, F.lit("US-ASCII")).otherwise(F.lit("x-unknown")).alias("charset"),
+        F.concat("content", F.unhex(F.lit("E9"))).alias("content"))
+    return landed.unionByName(again).withColumn("text", H.decode_body("content", "charset"))
+
+
 @register("decode_pages")
 def q_decode_pages(spark, sf_dir):
     """landed bytes decoded by their declared charset; undecodable -> NULL."""
-    p = read_table(spark, sf_dir, "pages", "page_id", "html")
-    latin = F.pmod("page_id", F.lit(4)) == 1
-    charset = F.when(latin, F.lit("ISO-8859-1")).otherwise(F.lit("UTF-8"))
-    content = F.when(latin, F.encode(F.regexp_replace("html", r"[^\x00-\xFF]", ""), "ISO-8859-1")) \
-        .otherwise(F.encode("html", "UTF-8"))
-    landed = p.select("page_id", charset.alias("charset"), content.alias("content"))
-    bad = spark.range(1).select(F.lit(-1).cast("long").alias("page_id"), F.lit("UTF-8").alias("charset"),
-                                F.unhex(F.lit("FF41")).alias("content"))
-    dec = landed.unionByName(bad).withColumn("text", H.decode_body("content", "charset"))
-    return dec.select("page_id", "charset", F.col("text").isNotNull().alias("ok"),
-                      F.length("text").alias("n_chars"), F.md5(F.col("text")).alias("text_md5"))
+    return _decoded_pages(spark, sf_dir).select(
+        "page_id", "charset", F.col("text").isNotNull().alias("ok"),
+        F.length("text").alias("n_chars"), F.md5(F.col("text")).alias("text_md5"))
+
+
+@register("decode_rejects")
+def q_decode_rejects(spark, sf_dir):
+    """Pages whose bytes cannot be decoded, as reject rows."""
+    bad = _decoded_pages(spark, sf_dir).where("text IS NULL")
+    return bad.select("page_id", "charset", F.lit("undecodable").alias("reason"))
 
 
 # ---------------------------------------------------------------- streaming
@@ -523,11 +539,17 @@ def q_stream_ingest(spark, sf_dir):
                          vec_fp("vector").alias("fp"))
 
 
+def _packed(high: str, low: str, base: int):
+    """Two numbers as one; an error where ``low`` does not fit."""
+    return F.when(F.col(low).between(0, base - 1), F.col(high) * base + F.col(low)).otherwise(
+        F.raise_error(F.lit(f"{low} must be between 0 and {base - 1}")).cast("long"))
+
+
 def conversation_queries(spark, sf_dir):
     """User turns of the conversations table as a query stream."""
     c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return c.where(F.col("role") == "user").select(
-        (F.col("conv_id") * 10000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+        _packed("conv_id", "turn", 1 << 20).alias("query_id"), F.col("text").alias("query"))
 
 
 @register("stream_search")
@@ -553,7 +575,7 @@ def q_best_sentence(spark, sf_dir):
     s = d.select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
     # Sentences are short: sparse (bucket, weight) vectors move far less data
     # than 384 dense floats; the scorer densifies one Arrow batch at a time.
-    s = s.select((F.col("doc_id") * SENT_ID_BASE + F.col("pos")).alias("id"), "sentence",
+    s = s.select(_packed("doc_id", "pos", SENT_ID_BASE).alias("id"), "sentence",
                  HASH.sparse("sentence").alias("vector"))
     q = benchmark_queries(spark, sf_dir).select("query_id", HASH.column("query").alias("vector"))
     best = topk.vector_topk(s, q, 1, metric="euclidean", carry=["sentence"], dim=HASH.dim, sparse=True)

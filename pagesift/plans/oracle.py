@@ -269,7 +269,7 @@ FROM routed
 # ---------------------------------------------------------------- search
 
 _BENCH_Q = "SELECT item_id AS query_id, text FROM benchmark"
-_CONV_Q = "SELECT conv_id * 10000 + turn AS query_id, text FROM conversations WHERE role = 'user'"
+_CONV_Q = "SELECT conv_id * 1048576 + turn AS query_id, text FROM conversations WHERE role = 'user'"
 
 
 def _search_sql(corpus_cte: str, k: int, with_url: bool, queries: str = _BENCH_Q) -> str:
@@ -359,17 +359,37 @@ sql("collection_init", f"""
 WITH {S.ROUTED.strip()}
 SELECT 'pages' AS name, 384 AS dim, 'dot' AS metric, count(*) AS n_points FROM routed WHERE route = 'accepted'
 """)
-sql("decode_pages", """
-WITH d AS (
-  SELECT page_id,
-         CASE WHEN page_id % 4 = 1 THEN 'ISO-8859-1' ELSE 'UTF-8' END AS charset,
-         CASE WHEN page_id % 4 = 1 THEN regexp_replace(html, '[^\\x00-\\xFF]', '', 'g') ELSE html END AS text
+_DECODED = """
+WITH landed AS (
+  SELECT page_id, html AS text,
+         CASE WHEN page_id % 4 = 1 THEN 'UTF-16LE' WHEN page_id % 4 = 2 THEN 'UTF-16BE'
+              WHEN page_id % 4 = 3 AND NOT regexp_matches(html, '[^\\x{00}-\\x{FF}]') THEN 'ISO-8859-1'
+              WHEN NOT regexp_matches(html, '[^\\x{00}-\\x{7F}]') THEN 'US-ASCII' ELSE 'UTF-8' END AS charset
   FROM pages
-  UNION ALL SELECT -1, 'UTF-8', NULL
+),
+d AS (
+  SELECT * FROM landed
+  UNION ALL
+  SELECT -page_id - 1, NULL, CASE WHEN page_id % 100 = 0 THEN 'US-ASCII' ELSE 'x-unknown' END FROM pages WHERE page_id % 50 = 0
 )
+"""
+sql("decode_pages", _DECODED + """
 SELECT page_id, charset, text IS NOT NULL AS ok, length(text)::INTEGER AS n_chars, md5(text) AS text_md5 FROM d
 """)
-
+sql("decode_rejects", _DECODED + "SELECT page_id, charset, 'undecodable' AS reason FROM d WHERE text IS NULL")
+sql("request_urls", """
+WITH p AS (SELECT page_id, url, split_part(url, '#', 1) AS u, CASE WHEN contains(url, '#') THEN substr(url, strpos(url, '#')) ELSE '' END AS frag FROM pages),
+e AS (
+  SELECT page_id, i, url_decode(replace(split_part(kv, '=', 1), '+', ' ')) AS k, url_decode(replace(substr(kv, strpos(kv, '=') + 1), '+', ' ')) AS v
+  FROM (SELECT page_id, unnest(parts) AS kv, generate_subscripts(parts, 1) AS i
+        FROM (SELECT page_id, CASE WHEN contains(u, '?') THEN string_split(substr(u, strpos(u, '?') + 1), '&') ELSE [] END AS parts FROM p))
+  WHERE strpos(kv, '=') > 0 AND strpos(kv, '=') < length(kv)
+  UNION ALL SELECT page_id, 1000000 + n, key, val FROM p, (VALUES (0, 'utm_source', 'pagesift'), (1, 'page', '1')) AS t(n, key, val)
+),
+one AS (SELECT page_id, k, min(i) AS i, arg_max(v, i) AS v FROM e GROUP BY page_id, k),
+q AS (SELECT page_id, string_agg(replace(url_encode(k), '%20', '+') || '=' || replace(url_encode(v), '%20', '+'), '&' ORDER BY i) AS qs FROM one GROUP BY page_id)
+SELECT p.page_id, split_part(u, '?', 1) || coalesce('?' || qs, '') || frag AS request_url FROM p LEFT JOIN q USING (page_id)
+""")
 
 _PAGES_CORPUS = f"""
 {S.ROUTED.strip()},

@@ -58,9 +58,9 @@ def url_slice(positioned: DataFrame, offset: int = -1, nb: int = -1, group_col:
     """``nb`` URLs from position ``offset`` (-1/0 = start, nb -1 = all);
     a blank line ends the list."""
     if not (nb == -1 or nb > 0):
-        raise ValueError("Invalid number of embeddings")
+        raise ValueError("the number of URLs must be positive")
     if offset < -1:
-        raise ValueError("Invalid URL dataset offset")
+        raise ValueError("the offset must not be negative")
     start = max(offset, 0)
     blank = F.trim(F.col("url")) == ""
     df = positioned if group_col else positioned.withColumn("_all", F.lit(0))
