@@ -29,6 +29,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that df does not have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -67,7 +75,7 @@ def map_texts(df: DataFrame, fields: list[tuple[str, str]],
     at = keep.index(text_col) if text_col in keep else len(keep)
     cols = [col(c) for c in keep]
     if at == len(keep):
-        cols.append(col(text_col).cast("string").alias("_text_"))
+        cols.append(col(text_col).cast("string").alias(fresh(df, "_text_")))
     src = df.select(*cols)
     schema = StructType(list(src.schema.fields[:len(keep)]))
     for name, kind in fields:

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, read_table
+from .common import col, fresh, read_table
 
 OPEN, CLOSE = "", ""
 BLOCK = 256
@@ -141,8 +141,9 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str,
     """
     keep = [c for c in keep if c.lower() != name.lower()]
     # The markers cannot be part of a match: another character that cannot stands for them.
-    clean = docs.select(*[col(c) for c in keep], F.translate(F.coalesce(col(text_col).cast("string"), F.lit("")), OPEN + CLOSE, "##").alias("_text_"))
-    spans = F.concat(*[_spans(F.col("_text_"), r, k) for r, k in enumerate(KINDS)])
+    held = fresh(docs, "_text_")
+    clean = docs.select(*[col(c) for c in keep], F.translate(F.coalesce(col(text_col).cast("string"), F.lit("")), OPEN + CLOSE, "##").alias(held))
+    spans = F.concat(*[_spans(col(held), r, k) for r, k in enumerate(KINDS)])
     return clean.select(*[col(c) for c in keep], F.array_sort(spans).alias(name))
 
 
@@ -152,10 +153,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Overlapping spans are replaced as one, under the first one's kind; a null
     text stays null. All columns and rows are kept.
     """
-    columns = docs.columns
-    found = find_personal_data(docs, text_col, tuple(columns), "_spans_")
+    columns, spans = docs.columns, fresh(docs, "_spans_")
+    found = find_personal_data(docs, text_col, tuple(columns), spans)
     # Spans that begin before an earlier one ends join it.
-    joined = F.aggregate("_spans_", F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>"), lambda a, s: F.when(
+    joined = F.aggregate(col(spans), F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>"), lambda a, s: F.when(
         (F.size(a) > 0) & (s["start"] < F.element_at(a, -1)["end"]), F.concat(
             F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(
                 F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end"),
@@ -170,7 +171,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         tail = F.substr(text, (F.element_at(j, -1)["end"] + 1).cast("int"))
         return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(j) - 1), piece), ""), tail)
 
-    text = F.when(F.size("_spans_") == 0, col(text_col)).otherwise(let(joined, lambda j: written(j, col(text_col))))
+    text = F.when(F.size(col(spans)) == 0, col(text_col)).otherwise(let(joined, lambda j: written(j, col(text_col))))
     return found.select(*[text.alias(c) if c == text_col else col(c) for c in columns])
 
 

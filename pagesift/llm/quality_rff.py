@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import cut_lineage, ship_package
-from .common import col, map_texts, read_table
+from .common import col, fresh, map_texts, read_table
 
 FEATURES = 256       # random Fourier features
 GAMMA = 0.02         # of the kernel exp(-gamma * |x - y|^2) on standardized statistics
@@ -183,11 +183,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
     texts are scored by their statistics (zeros); a null id is held out by the
     empty string's remainder and never labelled; several labels of one id
     count as their mean; without any label all scores are 0.5; repeated rows
-    stay. Result columns replace kept columns of the same name.
+    stay. Result columns replace kept columns of the same name; kept columns called _id_, _held,
+    _stats or _words are left out.
     """
     ship_package(docs.sparkSession)
-    names = tuple(c for c in dict.fromkeys((*keep, id_col)) if c.lower() not in ("held_out", "score", "predicted") or c == id_col)
-    stats = describe(docs.withColumn("_id_", col(id_col)), text_col, ("_id_", *(c for c in names if c != id_col or id_col in keep)))
+    # Only what is needed goes on, under names of our own beside the kept ones.
+    kept = [c for c in keep if c.lower() not in ("held_out", "score", "predicted", "_id_", "_held", "_stats", "_words")]
+    stats = describe(docs.select(*[col(c) for c in kept], col(id_col).alias("_id_"), col(text_col).alias("_words")), "_words", ("_id_", *kept))
     stats = stats.withColumn("_held", F.crc32(F.coalesce(F.col("_id_").cast("string"), F.lit(""))) % 3 == (1 if holdout is None else holdout))
     stats = cut_lineage(stats)
     truth = labels.groupBy(col(id_col).alias("_id_")).agg(F.avg(col(label_col).cast("double")).alias("_y")).where("_y is not null")
@@ -195,7 +197,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
     if holdout is not None:
         training = training.where(~F.col("_held"))
     model = fit(cut_lineage(training.join(truth, "_id_")))
-    kept = [c for c in stats.columns if c not in ("_id_", "_stats", "_held")]
     src = stats.select(*[col(c) for c in kept], F.col("_held").alias("held_out"), "_stats")
     schema = StructType(src.schema.fields[:-1]).add("score", "double").add("predicted", "integer")
 
@@ -224,8 +225,9 @@ def keep_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_
     def make():
         return lambda texts: [model.score(np.array([statistics(t) for t in texts]).reshape(-1, N_STATS))]
 
-    scored = map_texts(docs, [("_score_", "double")], make, text_col, tuple(docs.columns))
-    return scored.where("_score_ >= 0.5").select(*[col(c) for c in docs.columns])
+    score = fresh(docs, "_score_")
+    scored = map_texts(docs, [(score, "double")], make, text_col, tuple(docs.columns))
+    return scored.where(col(score) >= 0.5).select(*[col(c) for c in docs.columns])
 
 
 def op7_quality_rff(spark, sf_dir):

@@ -23,4 +23,5 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     from .chat import OP4_SQL
-    return {"op4_chat_round_trip": OP4_SQL}
+    from .wu_manber import OP5_SQL
+    return {"op4_chat_round_trip": OP4_SQL, "op5_wu_manber": OP5_SQL}

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import col, map_texts, read_table
+from .common import col, fresh, map_texts, read_table
 
 SEED = 42
 BITS = 64
@@ -316,12 +316,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, text_c
 
     component_id is the smallest id among all documents reachable over links
     of at most ``distance`` bits, the document itself included. Null and empty
-    texts have fingerprint zero and link like any other; texts shorter than a
+    texts have fingerprint zero and link like any other; kept columns called
+    _fp, _root or fp are left out; texts shorter than a
     shingle are one shingle; repeated rows stay; null ids stay and count for
     no component's id (null where a component has no other).
     """
-    prints = fingerprints(docs, shingle, text_col, tuple(dict.fromkeys((id_col, *keep))), "_fp")
-    prints = cut_lineage(prints)
+    keep = [c for c in dict.fromkeys((id_col, *keep)) if c.lower() not in ("_fp", "_root", "fp")]
+    prints = cut_lineage(fingerprints(docs, shingle, text_col, tuple(keep), "_fp"))
     return with_components(prints, id_col, distance) \
         .withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp", "_root")
 
@@ -343,14 +344,17 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3, text_col: str
     Of several rows with that id the one of the smallest text hash stays, of
     equal rows one; a component of null ids keeps one row. All columns stay.
     """
-    key = [col(id_col).alias("_id"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("_hash")]
+    identity = [col(id_col), F.xxhash64(F.coalesce(col(text_col), F.lit("")))]
+    key = [c.alias(n) for c, n in zip(identity, ("_id", "_hash"), strict=True)]
     prints = cut_lineage(fingerprints(docs.select(*key, col(text_col).alias("_t")), shingle, "_t", ("_id", "_hash"), "_fp"))
     classed = with_components(prints, "_id", distance)
     best = classed.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_hash")).alias("w")).select("w._id", "w._hash")
-    marked = docs.select("*", *key).alias("d")
-    best = best.alias("w")
-    same = F.col("d._id").eqNullSafe(F.col("w._id")) & (F.col("d._hash") == F.col("w._hash"))
-    return marked.join(best, same, "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    mine = [fresh(docs, "_id"), fresh(docs, "_hash")]
+    marked = docs.select("*", *[c.alias(n) for c, n in zip(identity, mine, strict=True)])
+    best = best.toDF("w_id", "w_hash").select(F.struct("w_id", "w_hash").alias(fresh(docs, "_best")))
+    won = col(best.columns[0])
+    same = col(mine[0]).eqNullSafe(won["w_id"]) & (col(mine[1]) == won["w_hash"])
+    return marked.join(best, same, "left_semi").dropDuplicates(mine).drop(*mine)
 
 
 def op6_simhash_gph(spark, sf_dir):

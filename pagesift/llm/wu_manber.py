@@ -133,7 +133,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_
     Null and empty texts have no words and are never contaminated; items
     without words have no window; a null item id counts as the empty string;
     repeated items count once; an empty benchmark hits nothing. Result columns
-    replace kept columns of the same name.
+    replace kept columns of the same name; kept columns called _sha, _spans,
+    _items, _copies or _copy are left out.
     """
     spark = docs.sparkSession
     pieces = _pieces(benchmark, window, item_col, item_text)
@@ -189,10 +190,31 @@ def _one_pass(docs, sent, window, text_col, keep, final):
 
     fields = RESULT if final else [("n_words", "bigint"), ("_sha", "string"), ("_spans", "array<bigint>"),
                                    ("_items", "array<string>")]
-    gone = {"n_hit", "n_items", "items_sha256", "contaminated"}
+    gone = {"n_hit", "n_items", "items_sha256", "contaminated", "_sha", "_spans", "_items", "_copies", "_copy"}
     return map_texts(docs, fields, make, text_col, tuple(c for c in keep if c.lower() not in gone))
 
 
 def op5_wu_manber(spark, sf_dir):
     from .common import read_table
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+#: Windows by a join on their words; at the scale of the driver's check.
+OP5_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+pat AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS s
+        FROM (SELECT item, w, least(13, len(w)) AS m, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM bw WHERE len(w) > 0)),
+occ AS (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS s
+        FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw, (SELECT DISTINCT m FROM pat) WHERE len(w) >= m)),
+found AS (SELECT doc_id, i, m, item FROM occ JOIN pat USING (m, s)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha
+          FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
