@@ -1,9 +1,9 @@
 """Ingest: URL lists -> fetched pages -> articles -> routed -> points.
 
-Every step is a DataFrame transformation: a left join to the landed pages
-(J2), article extraction as column expressions (F2, F3, A7), a CASE route
-(P3), anti/semi joins for resume (J6, J7), distributed dense ids (W1) and a
-keyed upsert (S7). Nothing is fetched twice: ``articles`` is computed once
+A left join to the landed pages (J2), article extraction as column
+expressions (F2, F3, A7), a CASE route (P3), anti/semi joins for resume (J6,
+J7), distributed dense ids (W1; counting rows per partition runs a job while
+the query is built) and a keyed upsert (S7). Nothing is fetched twice: ``articles`` is computed once
 and reused by the length test and the encoder.
 """
 
@@ -64,30 +64,20 @@ def route_col(max_words: int = MAX_WORDS) -> Column:
             .otherwise(F.lit(ACCEPTED)))
 
 
-# Row bound for shipping a URL batch to every task (source, seq, url: ~100 B a row).
-BROADCAST_URL_ROWS = 1_000_000
-
-
 def route(urls: DataFrame, fetched: DataFrame, max_words: int = MAX_WORDS,
-          broadcast_rows: int = BROADCAST_URL_ROWS) -> DataFrame:
+          join_first: bool = False) -> DataFrame:
     """(source, seq, url, status, article, published, n_words, route).
 
-    Small URL batch (counted; incremental runs, resumes, streams): the batch
-    is broadcast and the fetched pages are streamed where they are - no page
-    is shuffled and only listed pages are reduced to text; never-fetched
-    URLs come from a light anti join on url. Large batch: HTML is reduced
-    to article text where the pages live, and a sort-merge join on url moves
-    article text, not pages.
+    By default HTML is reduced to article text where the pages lie and the
+    join on url moves article text, not pages. ``join_first`` (the caller's
+    choice, for a URL batch that is small beside the pages) joins the pages
+    first, so only listed ones are reduced; Spark picks the join by the sizes
+    it measures. Never-fetched URLs are the batch's own rows without a page.
     """
     u = urls.select("source", "seq", strip_url("url").alias("url"))
     f = fetched.select("url", "status", "html")
-    if u.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        found = with_articles(f.join(F.broadcast(u), "url"))
-        missing = (u.join(f.select("url"), "url", "left_anti")
-                   .select("url", "source", "seq", *[F.lit(None).cast(t).alias(c) for c, t in
-                                                     [("status", "int"), ("article", "string"),
-                                                      ("published", "string"), ("n_words", "int")]]))
-        routed = found.unionByName(missing)
+    if join_first:
+        routed = with_articles(u.join(f, "url", "left"))
     else:
         routed = fetch_outcome(u, with_articles(f))
     return routed.withColumn("route", route_col(max_words))

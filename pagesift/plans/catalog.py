@@ -398,16 +398,16 @@ def q_metric_compare(spark, sf_dir):
 
 @register("ann_ivf")
 def q_ann_ivf(spark, sf_dir):
-    """T3 (b): IVF with 16 KMeans cells, 4 probes, exact re-rank in probed cells."""
+    """T3 (b): IVF with 16 cells, 4 probes, exact ranking in probed cells."""
     pts = _embedding_points(spark, sf_dir)
-    centers = A.fit_ivf(pts, IVF_CELLS)
+    centers = A.seed_centers(pts, IVF_CELLS)
     index = A.build_ivf_index(pts, centers)
     return A.ivf_topk(index, centers, _emb_queries(spark, sf_dir), ANN_K, IVF_PROBES)
 
 
 @register("ann_lsh")
 def q_ann_lsh(spark, sf_dir):
-    """T3 (a): random-projection LSH candidates (4 tables), exact re-rank."""
+    """T3 (a): random-hyperplane LSH candidates (12 tables of 4 bits), exact ranking."""
     return A.lsh_topk(_embedding_points(spark, sf_dir), _emb_queries(spark, sf_dir), ANN_K)
 
 
@@ -460,8 +460,12 @@ def q_url_sink_roundtrip(spark, sf_dir):
 
 @register("url_slice")
 def q_url_slice(spark, sf_dir):
-    """URLs 10..59 of each list, in list order."""
-    pos = U.with_positions(_urls(spark, sf_dir), ["seq"], group_col="source")
+    """URLs 10..59 of each written list, in list order; a blank line (after every 97th page) ends it."""
+    u = _urls(spark, sf_dir).select("source", (F.col("seq") * 2).alias("seq"), "url")
+    blank = u.where(F.col("seq") % 194 == 192).select("source", (F.col("seq") + 1).alias("seq"), F.lit("").alias("url"))
+    path = shared_path(spark, "urls-" + uuid.uuid4().hex)
+    U.write_url_list(u.unionByName(blank), path, partition_by="source", order="seq")
+    pos = U.with_positions(U.read_url_list(spark, path, with_order=True), U.ORDER, group_col="source")
     return U.url_slice(pos, SLICE_OFFSET, SLICE_NB, group_col="source").select("source", "pos", "url")
 
 

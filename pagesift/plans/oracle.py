@@ -348,8 +348,11 @@ sql("url_scan", f"WITH {S.URLS.strip()} SELECT source, regexp_replace(url, '\\s+
 sql("url_sink_roundtrip", f"WITH {S.URLS.strip()} SELECT url FROM urls")
 sql("url_slice", f"""
 WITH {S.URLS.strip()},
-p AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY seq) - 1) AS pos, url FROM urls)
-SELECT source, pos, url FROM p WHERE pos >= 10 AND pos < 60
+lines AS (SELECT source, seq * 2 AS seq, url FROM urls UNION ALL SELECT source, seq * 2 + 1, '' FROM urls WHERE seq % 97 = 96),
+p AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY seq) - 1) AS pos, url FROM lines),
+stops AS (SELECT source, min(pos) AS stop FROM p WHERE url = '' AND pos >= 10 GROUP BY source)
+SELECT source, pos, url FROM p LEFT JOIN stops USING (source)
+WHERE pos >= 10 AND pos < 60 AND (stop IS NULL OR pos < stop)
 """)
 sql("multi_source_urls", f"""
 WITH {S.URLS.strip()}
@@ -442,3 +445,40 @@ sql("rejects_sink", f"""
 WITH {S.ROUTED.strip()}
 SELECT source, url, status, route AS reason FROM routed WHERE route <> 'accepted'
 """)
+
+
+# ---------------------------------------------------------------- approximate search
+
+_ANN_CELLS = """
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+centers AS (SELECT v AS c, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cell
+            FROM e QUALIFY row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) <= 16),
+near AS (SELECT vec_id, v, cell, row_number() OVER (PARTITION BY vec_id ORDER BY
+           floor((list_dot_product(v, c) - list_dot_product(c, c) / 2) * 1e6 + 0.5) DESC, cell) AS r FROM e, centers)"""
+_ANN_PLANES = """
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+planes AS (SELECT t, b, list_transform(range(64), lambda j: CASE WHEN md5(t::VARCHAR || '-' || b::VARCHAR || '-' || j::VARCHAR) < '8' THEN 1.0 ELSE -1.0 END::DOUBLE) AS p
+           FROM range(12) AS x(t), range(4) AS y(b)),
+keys AS (SELECT vec_id, any_value(v) AS v, t,
+                sum(CASE WHEN floor(list_dot_product(v, p) * 1e6 + 0.5) >= 0 THEN (1 << b::INTEGER) ELSE 0 END) AS k
+         FROM e, planes GROUP BY vec_id, t)"""
+_ANN_RANKED = """
+ranked AS (SELECT query_id, id, round(raw, 6) AS score,
+                  row_number() OVER (PARTITION BY query_id ORDER BY floor(raw * 1e6 + 0.5) DESC, id) AS rank
+           FROM (SELECT query_id, id, any_value(list_dot_product(qv, cv)) AS raw FROM cand GROUP BY query_id, id))"""
+_IVF = f"""{_ANN_CELLS.strip()},
+cand AS (SELECT q.vec_id AS query_id, c.vec_id AS id, q.v AS qv, c.v AS cv FROM near q JOIN near c ON q.cell = c.cell
+         WHERE q.r <= 4 AND c.r = 1),
+{_ANN_RANKED.strip()}"""
+_LSH = f"""{_ANN_PLANES.strip()},
+cand AS (SELECT q.vec_id AS query_id, c.vec_id AS id, q.v AS qv, c.v AS cv FROM keys q JOIN keys c ON q.t = c.t AND q.k = c.k),
+{_ANN_RANKED.strip()}"""
+
+for _name, _text in (("ann_ivf", _IVF), ("ann_lsh", _LSH)):
+    sql(_name, f"WITH {_text} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM ranked WHERE rank <= 10")
+sql("ann_recall", f"""
+WITH exact AS ({_SQL["vector_topk"]}), ivf AS ({_SQL["ann_ivf"]}), lsh AS ({_SQL["ann_lsh"]}),
+hits AS (SELECT 'ivf' AS method, query_id, count(ivf.id) AS n FROM exact LEFT JOIN ivf USING (query_id, id) GROUP BY query_id
+         UNION ALL SELECT 'lsh', query_id, count(lsh.id) FROM exact LEFT JOIN lsh USING (query_id, id) GROUP BY query_id)
+SELECT method, round(avg(n / 10.0), 6) AS recall, count(*) AS n_queries FROM hits GROUP BY method
+""")

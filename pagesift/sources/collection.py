@@ -33,14 +33,29 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def create_collection(spark: SparkSession, root: str, name: str, dim: int,
                       metric: str = COLLECTION_METRIC) -> DataFrame:
-    """Create if absent; return the metadata row (name, dim, metric)."""
+    """Create if absent; return the metadata row (name, dim, metric).
+
+    An existing collection must have the same dimension and metric.
+    """
     meta_path = os.path.join(root, _META)
     if not _exists(spark, meta_path):
         (spark.createDataFrame([(name, int(dim), metric)], "name string, dim int, metric string")
          .coalesce(1).write.mode("overwrite").parquet(meta_path))
+    else:
+        known = spark.read.parquet(meta_path).first()
+        if (known["dim"], known["metric"]) != (int(dim), metric):
+            raise ValueError(f"the collection has dimension {known['dim']} and metric {known['metric']}, not {dim} and {metric}")
     return spark.read.parquet(meta_path)
 
 
+def collection_dim(spark: SparkSession, root: str, dim: int | None = None) -> int:
+    """The dimension of the metadata; ``dim``, if given, must equal it."""
+    known = spark.read.parquet(os.path.join(root, _META)).first()["dim"] if _exists(spark, os.path.join(root, _META)) else dim
+    if dim is not None and known != dim:
+        raise ValueError(f"the collection has dimension {known}, not {dim}")
+    return known
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     fs, p = _fs(spark, root)
     if not fs.exists(p):
@@ -71,6 +86,7 @@ def checked(points: DataFrame, dim: int) -> DataFrame:
 
 def write_points(spark: SparkSession, root: str, points: DataFrame, dim: int) -> int:
     """S7 sink: write ``points`` (already merged) as the next version."""
+    dim = collection_dim(spark, root, dim)
     v = (versions(spark, root) or [0])[-1] + 1
     (checked(points, dim).sortWithinPartitions("id")
      .write.mode("overwrite").parquet(os.path.join(root, f"v={v}")))

@@ -1,8 +1,10 @@
 """URL lists: headerless one-column CSV files.
 
-Spark writes one part file per partition; the list order is recovered on
-read from (file name, split start, row position inside the split), so a
-slice by position never needs a single-partition sort.
+The files are read as lines, so blank lines stay (they end a list). Each
+write goes to its own ``batch=<n>`` folder and Spark writes one part file per
+partition, so the order of a list over all its writes is (batch, file name,
+split start, row position inside the split): ORDER. A slice by position never
+needs a single-partition sort.
 """
 
 from __future__ import annotations
@@ -11,30 +13,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ids import dense_index
+from .collection import _exists
 
-_CSV = {"header": "false", "escape": '"', "ignoreLeadingWhiteSpace": "false",
-        "ignoreTrailingWhiteSpace": "false"}
+ORDER = ["batch", "_file", "_start", "_row"]
 
 
-def write_url_list(df: DataFrame, path: str, mode: str = "overwrite", partition_by: str | None = None) -> None:
-    """One column, no header; ``mode`` "overwrite" or "append"."""
+def write_url_list(df: DataFrame, path: str, mode: str = "overwrite", partition_by: str | None = None,
+                   order: str | None = None) -> None:
+    """One column, no header; ``mode`` "overwrite" or "append".
+
+    Without ``order`` the rows are written in the order they have. With it,
+    in ascending order of that column (range-partitioned, no single task).
+    """
     if mode not in ("overwrite", "append"):
         raise ValueError("mode must be overwrite or append")
-    cols = ["url"] + ([partition_by] if partition_by else [])
-    w = df.select(*cols).write.mode(mode).options(**_CSV)
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.csv(path)
+    spark, batch = df.sparkSession, 0
+    if mode == "append" and _exists(spark, path):
+        batch = (spark.read.text(path).agg(F.max("batch")).first()[0] or 0) + 1
+    groups = [partition_by] if partition_by else []
+    if order:
+        df = df.repartitionByRange(*groups, order).sortWithinPartitions(*groups, order)
+    quoted = F.concat(F.lit('"'), F.replace("url", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.when(F.col("url").rlike('^$|[",]'), quoted).otherwise(F.coalesce("url", F.lit("")))
+    line = F.when(F.col("url") == "", F.lit("")).otherwise(line)
+    (df.select(line.alias("value"), F.lit(batch).alias("batch"), *groups)
+     .write.mode(mode).partitionBy("batch", *groups).text(path))
 
 
 def read_url_list(spark: SparkSession, path: str, with_order: bool = False) -> DataFrame:
-    """S3: (url[, partition columns][, _file, _start, _row]) from CSV files."""
-    df = spark.read.schema("url STRING").options(**_CSV).csv(path)
-    if with_order:
-        df = df.select("*", F.col("_metadata.file_name").alias("_file"),
-                       F.col("_metadata.file_block_start").alias("_start"),
-                       F.monotonically_increasing_id().alias("_row"))
-    return df
+    """S3: (url[, partition columns][, batch, _file, _start, _row]); blank lines are empty URLs."""
+    df = spark.read.text(path)
+    if "batch" not in df.columns:  # files that something else wrote
+        df = df.withColumn("batch", F.lit(0))
+    v = F.col("value")
+    url = F.when(v.rlike('^".*"$'), F.replace(F.substring(v, 2, F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v)
+    rest = [c for c in df.columns if c not in ("value", "batch")]
+    place = [F.col("batch"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+             F.monotonically_increasing_id().alias("_row")]
+    return df.select(url.alias("url"), *rest, *(place if with_order else []))
 
 
 def strip_trailing(df: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def test_route_paths_agree(spark):
     urls, fetched = X.url_lists(spark, SF_SMALL), X.fetched_pages(spark, SF_SMALL)
     cols = ["source", "seq", "url", "status", "article", "published", "n_words", "route"]
     small = sorted(tuple(r) for r in I.route(urls, fetched).select(*cols).collect())
-    large = sorted(tuple(r) for r in I.route(urls, fetched, broadcast_rows=0).select(*cols).collect())
+    large = sorted(tuple(r) for r in I.route(urls, fetched, join_first=True).select(*cols).collect())
     assert small == large and len(small) == urls.count()
 
 

@@ -62,5 +62,17 @@ def test_read_order_is_file_order(spark, tmp_dir):
     path = os.path.join(tmp_dir, "ordered")
     U.write_url_list(df.orderBy("seq").coalesce(1), path)
     back = U.read_url_list(spark, path, with_order=True)
-    pos = U.with_positions(back, ["_file", "_start", "_row"])
+    pos = U.with_positions(back, U.ORDER)
     assert [r.url for r in pos.orderBy("pos").collect()] == urls
+
+
+def test_append_order_and_blank_lines(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "lists")
+    first = [f"b{i}" for i in range(40)] + ["", "after"]
+    second = ["a,0", 'a"1', "a2"]
+    for mode, urls in (("overwrite", first), ("append", second), ("append", ["z"])):
+        df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "seq long, url string").repartition(4)
+        U.write_url_list(df, path, mode=mode, order="seq")
+    pos = U.with_positions(U.read_url_list(spark, path, with_order=True), U.ORDER)
+    assert [r.url for r in pos.orderBy("pos").collect()] == first + second + ["z"]
+    assert [r.url for r in U.url_slice(pos, 35, 20).orderBy("pos").collect()] == first[35:40]
