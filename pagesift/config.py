@@ -14,7 +14,7 @@ COLLECTION_METRIC = "dot"
 MAX_WORDS = 1200
 ENCODE_BATCH = 5
 INSERT_BATCH = 100
-K_MIN, K_MAX, K_DEFAULT = 1, 50, 1
+K_MIN, K_MAX = 1, 50
 SITEMAP_KEYWORDS = ["/post-sitemap", "/slideshow-sitemap", "/video-sitemap"]
 SITEMAP_TAG, URL_TAG, LOC_TAG = "sitemap", "url", "loc"
 

@@ -38,8 +38,11 @@ def under_length(text, max_words: int = MAX_WORDS) -> Column:
 
 
 def sentences(text) -> Column:
-    """array<string> of sentences, right-trimmed, empties dropped."""
-    m = F.regexp_replace(_c(text), SENT_MARK_RE, "$1" + MARK)
+    """array<string> of sentences, right-trimmed, empties dropped.
+
+    The mark itself (a control character) counts as a space in a text.
+    """
+    m = F.regexp_replace(F.replace(_c(text), F.lit(MARK), F.lit(" ")), SENT_MARK_RE, "$1" + MARK)
     m = F.regexp_replace(m, SENT_UNMARK_ELLIPSIS_RE, "$1")
     m = F.regexp_replace(m, SENT_UNMARK_INITIAL_RE, "$1$2")
     m = F.regexp_replace(m, SENT_UNMARK_INITIAL_RE, "$1$2")

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import SCORE_DIGITS
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -41,19 +39,3 @@ def cosine(a, b) -> Column:
     """cosine similarity; NULL when either norm is zero."""
     denom = F.sqrt(sq_norm(a)) * F.sqrt(sq_norm(b))
     return F.when(denom > 0, dot(a, b) / denom)
-
-
-def l2_normalize(a) -> Column:
-    """Unit-length copy as array<float>; a zero vector stays zero."""
-    n = F.sqrt(sq_norm(a))
-    return F.transform(as_double_array(a),
-                       lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))).cast("array<float>")
-
-
-def rounded(c, digits: int = SCORE_DIGITS) -> Column:
-    return F.round(_c(c), digits)
-
-
-def to_float_array(c) -> Column:
-    """F8: storage form of a vector."""
-    return _c(c).cast("array<float>")

@@ -482,3 +482,10 @@ hits AS (SELECT 'ivf' AS method, query_id, count(ivf.id) AS n FROM exact LEFT JO
          UNION ALL SELECT 'lsh', query_id, count(lsh.id) FROM exact LEFT JOIN lsh USING (query_id, id) GROUP BY query_id)
 SELECT method, round(avg(n / 10.0), 6) AS recall, count(*) AS n_queries FROM hits GROUP BY method
 """)
+sql("sitemap_rejects", f"""
+WITH {S.SITEMAPS.strip()},
+n AS (SELECT host, chunk, count(*) AS n FROM hp GROUP BY host, chunk)
+SELECT doc_url, CASE WHEN first_id % 3 = 0 THEN 0 ELSE n END AS n_entries, CASE WHEN first_id % 3 = 0 THEN 0 ELSE 1 END::BIGINT AS n_without_loc,
+       CASE WHEN first_id % 3 = 0 THEN 'malformed' ELSE 'without_loc' END AS reason
+FROM smx JOIN n USING (host, chunk) WHERE first_id % 3 < 2
+""")

@@ -74,7 +74,7 @@ def word_count(expr: str) -> str:
 
 
 def sentences(expr: str) -> str:
-    m = rx(expr, T.SENT_MARK_RE, f"'\\1' || {MARK}")
+    m = rx(f"replace({expr}, {MARK}, ' ')", T.SENT_MARK_RE, f"'\\1' || {MARK}")
     m = rx(m, T.SENT_UNMARK_ELLIPSIS_RE, "'\\1'")
     m = rx(m, T.SENT_UNMARK_INITIAL_RE, "'\\1\\2'")
     m = rx(m, T.SENT_UNMARK_INITIAL_RE, "'\\1\\2'")

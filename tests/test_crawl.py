@@ -30,8 +30,13 @@ def test_sitemap_parsing_cases(spark):
                    (2, "https://a.example/kept"), (5, "https://a.example/p"),
                    (6, "https://a.example/cdata"), (7, "https://a.example/single")]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(docs)], "d int, xml string")
-    rejected = sorted(r.d for r in C.parse_rejects(df, "xml", "url", ["d"]).collect())
-    assert rejected == [3, 4]
+    rejected = sorted((r.d, r.reason, r.n_entries, r.n_without_loc) for r in C.parse_rejects(df, "xml", "url", ["d"]).collect())
+    assert rejected == [(2, "without_loc", 2, 1), (3, "malformed", 0, 0), (4, "malformed", 0, 0)]
+
+
+def test_link_tag_is_a_parameter(spark):
+    df = spark.createDataFrame([(0, f"<urlset {NS}><url><href>https://a.example/x</href></url></urlset>")], "d int, xml string")
+    assert [r.loc for r in C.links(df, "xml", "url", ["d"], "href").collect()] == ["https://a.example/x"]
 
 
 def test_keyword_filter(spark):
