@@ -95,22 +95,37 @@ def strip_noise(html) -> Column:
     return F.regexp_replace(_c(html), NOISE_RE, "")
 
 
-def paragraphs(html, cleaned: bool = False) -> Column:
-    """text of every <p> element in document order (array<string>).
+def paragraphs(html, cleaned: bool = False, tag: str = "p") -> Column:
+    """text of every ``tag`` element in document order (array<string>).
 
     A <p> ends at </p>, at the next <p>, or at a block-level start or end
     tag; inner tags are dropped with nothing in between; entities decoded.
+    Other tags may nest: each element, outer before inner, ends at its own end
+    tag (or the document's end) and has the text of all within.
     ``cleaned``: ``html`` already went through ``strip_noise``.
     """
-    marked = F.regexp_replace(_c(html) if cleaned else strip_noise(html), P_START_RE, MARK)
-    pieces = F.filter(F.split(marked, MARK, -1), lambda x, i: i > 0)
-    return F.transform(pieces, lambda x: decode_entities(
-        F.regexp_replace(F.regexp_replace(x, P_CUT_RE, ""), TAG_RE, "")))
-
-
-def article_text(html, cleaned: bool = False) -> Column:
+    body = _c(html) if cleaned else strip_noise(html)
+    if tag.lower() == "p":
+        marked = F.regexp_replace(body, P_START_RE, MARK)
+        pieces = F.filter(F.split(marked, MARK, -1), lambda x, i: i > 0)
+        return F.transform(pieces, lambda x: decode_entities(
+            F.regexp_replace(F.regexp_replace(x, P_CUT_RE, ""), TAG_RE, "")))
+    # Pieces that begin with a start or end tag, and the depth after each.
+    pieces = F.filter(F.split(F.regexp_replace(body, rf"(?i)(</?{tag}(?:\s[^>]*)?>)", MARK + "$1"), MARK, -1), lambda x, i: i > 0)
+    step = F.transform(pieces, lambda x: F.when(F.startswith(x, F.lit("</")), -1).otherwise(1))
+    depth = F.transform(step, lambda _, i: F.aggregate(F.slice(step, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
+    both = F.transform(F.arrays_zip(pieces.alias("x"), depth.alias("d")), lambda e, i: F.struct(e["x"].alias("x"), e["d"].alias("d"), i.alias("i")))
+
+    def text(start):
+        end = F.coalesce(F.get(F.filter(both, lambda e: (e["i"] > start["i"]) & (e["d"] < start["d"])), F.lit(0))["i"], F.size(both))
+        inner = F.array_join(F.transform(F.slice(both, start["i"] + 1, end - start["i"]), lambda e: e["x"]), "")
+        return decode_entities(F.regexp_replace(inner, TAG_RE, ""))
+    return F.transform(F.filter(both, lambda e: ~F.startswith(e["x"], F.lit("</"))), text)
+
+
+def article_text(html, cleaned: bool = False, tag: str = "p") -> Column:
     """A5: paragraphs joined by one space; no paragraph gives ''."""
-    return F.array_join(paragraphs(html, cleaned), " ")
+    return F.array_join(paragraphs(html, cleaned, tag), " ")
 
 
 def published(html, cleaned: bool = False) -> Column:

@@ -22,6 +22,7 @@ ACCEPTED = "accepted"
 # Reject reasons ("too_long" and "http_410" are the
 # reference's two reject files; the other two keep every URL visible).
 TOO_LONG, HTTP_410, HTTP_ERROR, NOT_FETCHED = "too_long", "http_410", "http_error", "not_fetched"
+UNDECODABLE = "undecodable"
 
 
 def strip_url(url) -> Column:
@@ -54,12 +55,20 @@ def with_articles(df: DataFrame) -> DataFrame:
             .withColumn("n_words", T.word_count("article")))
 
 
-def route_col(max_words: int = MAX_WORDS) -> Column:
+def decoded(fetched: DataFrame) -> DataFrame:
+    """landed bytes (url, status, content, charset) as (url, status, html, undecodable)."""
+    html = H.decode_body("content", "charset")
+    return fetched.withColumn("html", html).withColumn(
+        "undecodable", (F.col("status") == 200) & F.col("content").isNotNull() & F.col("html").isNull()).drop("content", "charset")
+
+
+def route_col(max_words: int = MAX_WORDS, undecodable: Column | None = None) -> Column:
     """One route per URL."""
     st = F.col("status")
     return (F.when(st.isNull(), F.lit(NOT_FETCHED))
             .when(st == 410, F.lit(HTTP_410))
             .when(st != 200, F.lit(HTTP_ERROR))
+            .when(F.lit(False) if undecodable is None else undecodable, F.lit(UNDECODABLE))
             .when(F.col("n_words") >= max_words, F.lit(TOO_LONG))
             .otherwise(F.lit(ACCEPTED)))
 
@@ -73,14 +82,20 @@ def route(urls: DataFrame, fetched: DataFrame, max_words: int = MAX_WORDS,
     choice, for a URL batch that is small beside the pages) joins the pages
     first, so only listed ones are reduced; Spark picks the join by the sizes
     it measures. Never-fetched URLs are the batch's own rows without a page.
+    Pages may come as bytes (``content``, ``charset``): those that cannot be
+    decoded are rejects.
     """
+    if "content" in fetched.columns:
+        fetched = decoded(fetched)
+    else:
+        fetched = fetched.withColumn("undecodable", F.lit(False))
     u = urls.select("source", "seq", strip_url("url").alias("url"))
-    f = fetched.select("url", "status", "html")
+    f = fetched.select("url", "status", "html", "undecodable")
     if join_first:
         routed = with_articles(u.join(f, "url", "left"))
     else:
         routed = fetch_outcome(u, with_articles(f))
-    return routed.withColumn("route", route_col(max_words))
+    return routed.withColumn("route", route_col(max_words, F.coalesce("undecodable", F.lit(False)))).drop("undecodable")
 
 
 def rejects(routed: DataFrame) -> DataFrame:
@@ -174,9 +189,9 @@ def ingest(urls: DataFrame, fetched: DataFrame, encoder: Encoder, existing: Data
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """Keyed replacement; rows of ``new`` win, untouched rows kept.
 
-    Of several new rows with one key the one with the greatest ``order``
+    The result has the columns of ``old``. Of several new rows with one key the one with the greatest ``order``
     stays (without it, the one with the greatest hash of its values).
     """
     last = F.col(order) if order else F.xxhash64(*new.columns)
-    one = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), last).alias("row")).select("row.*")
+    one = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), last).alias("row")).select("row.*").select(*old.columns)
     return old.join(one.select(key), key, "left_anti").unionByName(one)

@@ -249,14 +249,21 @@ def q_source_progress(spark, sf_dir):
         .withColumn("n_indexable", F.col("n_listed") - F.col("n_too_long") - F.col("n_http_410")))
 
 
+def _listed_twice(spark, sf_dir):
+    """The URL lists; every fourth URL is listed again further down, with trailing blanks."""
+    u = _urls(spark, sf_dir)
+    again = u.where(F.col("seq") % 4 == 0).select("source", (F.col("seq") + 1_000_000_000).alias("seq"), F.concat("url", F.lit("  ")).alias("url"))
+    return u.select("source", "seq", "url").unionByName(again)
+
+
 @register("pending_urls")
 def q_pending_urls(spark, sf_dir):
-    return I.pending_urls(_urls(spark, sf_dir), _done(spark, sf_dir)).select("source", "seq", "url")
+    return I.pending_urls(_listed_twice(spark, sf_dir), _done(spark, sf_dir)).select("source", "seq", "url")
 
 
 @register("indexed_urls")
 def q_indexed_urls(spark, sf_dir):
-    return I.indexed_urls(_urls(spark, sf_dir), _done(spark, sf_dir)).select("source", "seq", "url")
+    return I.indexed_urls(_listed_twice(spark, sf_dir), _done(spark, sf_dir)).select("source", "seq", "url")
 
 
 def _with_ids(spark, sf_dir):
@@ -312,16 +319,25 @@ def q_points_upsert(spark, sf_dir):
     max_id = old.agg(F.max("id")).first()[0]  # one scalar
     changed = old.where(F.pmod("id", F.lit(10)) == 0).select("id", F.reverse("vector").alias("vector"))
     added = old.where(F.pmod("id", F.lit(10)) == 5).select((F.col("id") + F.lit(max_id + 1)).alias("id"), "vector")
-    merged = I.upsert(old, changed.unionByName(added))
+    # Some changed ids come a second time, as a later version that wins.
+    again = old.where(F.pmod("id", F.lit(20)) == 0).select("id", F.transform("vector", lambda x: x * 2).cast("array<float>").alias("vector"))
+    new = changed.unionByName(added).withColumn("version", F.lit(1)).unionByName(again.withColumn("version", F.lit(2)))
+    merged = I.upsert(old, new, order="version")
     return merged.select("id", vec_fp("vector").alias("fp"))
 
 
 @register("embedding_dim")
 def q_embedding_dim(spark, sf_dir):
-    """Dimension check of a collection."""
+    """Vectors of a stored collection against the dimension of its metadata."""
     e = _embedding_points(spark, sf_dir)
-    return e.agg(F.min(F.size("vector")).alias("min_dim"), F.max(F.size("vector")).alias("max_dim"),
-                 F.count(F.lit(1)).alias("n_points"))
+    dim = e.agg(F.max(F.size("vector"))).first()[0]  # one scalar
+    root = shared_path(spark, "embeddings-" + uuid.uuid4().hex)
+    CO.create_collection(spark, root, "embeddings", dim, COLLECTION_METRIC)
+    CO.upsert_points(spark, root, e, dim)
+    meta = CO.create_collection(spark, root, "embeddings", dim, COLLECTION_METRIC).select(F.col("dim").alias("meta_dim"))
+    found = CO.read_points(spark, root).agg(F.min(F.size("vector")).alias("min_dim"), F.max(F.size("vector")).alias("max_dim"),
+                                            F.count(F.lit(1)).alias("n_points"))
+    return found.join(meta, (F.col("min_dim") == F.col("meta_dim")) & (F.col("max_dim") == F.col("meta_dim")))
 
 
 @register("ingest_metrics")

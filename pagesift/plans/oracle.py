@@ -196,8 +196,14 @@ SELECT source, count(*) AS n_listed,
 FROM routed GROUP BY source
 """)
 
-sql("pending_urls", f"WITH {S.URLS.strip()} SELECT source, seq, url FROM urls WHERE seq % 3 <> 0")
-sql("indexed_urls", f"WITH {S.URLS.strip()} SELECT source, seq, url FROM urls WHERE seq % 3 = 0")
+_LISTED = f"""
+WITH {S.URLS.strip()},
+listed AS (SELECT source, seq, url FROM urls UNION ALL SELECT source, seq + 1000000000, url FROM urls WHERE seq % 4 = 0),
+done AS (SELECT source, url FROM urls WHERE seq % 3 = 0)
+SELECT source, seq, url FROM listed l WHERE %NOT% EXISTS (SELECT 1 FROM done d WHERE d.source = l.source AND d.url = l.url)
+"""
+sql("pending_urls", _LISTED.replace("%NOT%", "NOT"))
+sql("indexed_urls", _LISTED.replace("%NOT%", ""))
 
 _IDS = f"""
 {S.ROUTED.strip()},
@@ -241,7 +247,8 @@ sql("point_count", f"WITH {_TWO_RUN.strip()} SELECT count(*) AS n_points FROM id
 sql("points_upsert", f"""
 WITH m AS (SELECT max(vec_id) AS mx FROM embeddings),
 new AS (
-  SELECT vec_id AS id, list_reverse(embedding) AS v FROM embeddings WHERE vec_id % 10 = 0
+  SELECT vec_id AS id, CASE WHEN vec_id % 20 = 0 THEN list_transform(embedding, lambda x: (x * 2)::FLOAT) ELSE list_reverse(embedding) END AS v
+  FROM embeddings WHERE vec_id % 10 = 0
   UNION ALL
   SELECT vec_id + (SELECT mx FROM m) + 1 AS id, embedding AS v FROM embeddings WHERE vec_id % 10 = 5
 ),
@@ -253,7 +260,7 @@ SELECT id, {S.vec_fp('v')} AS fp FROM merged
 """)
 
 sql("embedding_dim", """
-SELECT min(len(embedding))::INTEGER AS min_dim, max(len(embedding))::INTEGER AS max_dim, count(*) AS n_points
+SELECT min(len(embedding))::INTEGER AS min_dim, max(len(embedding))::INTEGER AS max_dim, count(*) AS n_points, 64 AS meta_dim
 FROM embeddings
 """)
 

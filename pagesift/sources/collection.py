@@ -1,10 +1,12 @@
-"""The vector collection as versioned parquet.
+"""The vector collection as versioned, bucketed parquet.
 
 A collection is a folder with a one-row metadata table (name, dim, metric)
-and numbered versions of the points table. An upsert writes a new version
-(never the folder being read) and readers take the highest complete one.
-Points are written sorted by id within files so id filters (search hit
-lookups) skip row groups. On a cluster with a table format, the same
+and numbered versions of the points table, each split into BUCKETS buckets by
+a hash of the id. An upsert reads and writes only the buckets that its rows
+fall into, as a new version (never a folder being read); readers take, for
+each bucket, the highest complete version that has it. A version number is
+claimed by creating its lock file, so two writers never share one. Points are
+sorted by id within files. On a cluster with a table format, the same
 ``upsert`` DataFrame feeds a MERGE instead.
 """
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..config import COLLECTION_METRIC
 
 _META = "_meta"
+BUCKETS = 64
 
 
 def _fs(spark: SparkSession, path: str):
@@ -56,21 +59,48 @@ def collection_dim(spark: SparkSession, root: str, dim: int | None = None) -> in
     return known
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p = _fs(spark, root)
+def bucket_of(key: str = "id"):
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
+
+
+def _names(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    fs, p = _fs(spark, path)
     if not fs.exists(p):
         return []
-    out = []
-    for st in fs.listStatus(p):
-        n = st.getPath().getName()
-        if n.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            out.append(int(n[2:]))
-    return sorted(out)
+    return [n for n in (st.getPath().getName() for st in fs.listStatus(p)) if n.startswith(prefix)]
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Complete versions, ascending."""
+    found = [int(n[2:]) for n in _names(spark, root, "v=") if not n.endswith(".lock")]
+    return sorted(v for v in found if _exists(spark, os.path.join(root, f"v={v}", "_SUCCESS")))
+
+
+def bucket_paths(spark: SparkSession, root: str) -> dict[int, str]:
+    """For each bucket the folder of its highest complete version (at most BUCKETS)."""
+    out = {}
+    for v in versions(spark, root):
+        for name in _names(spark, os.path.join(root, f"v={v}"), "bucket="):
+            out[int(name[7:])] = os.path.join(root, f"v={v}", name)
+    return out
+
+
+def read_points(spark: SparkSession, root: str, buckets: list[int] | None = None) -> DataFrame | None:
+    """The current points (of some buckets); None where there are none."""
+    paths = bucket_paths(spark, root)
+    chosen = [p for b, p in sorted(paths.items()) if buckets is None or b in buckets]
+    return spark.read.parquet(*chosen) if chosen else None
 
 
-def read_points(spark: SparkSession, root: str) -> DataFrame | None:
-    vs = versions(spark, root)
-    return spark.read.parquet(os.path.join(root, f"v={vs[-1]}")) if vs else None
+def _claim_version(spark: SparkSession, root: str) -> int:
+    """The next version number, claimed for this writer."""
+    taken = [int(n[2:].removesuffix(".lock")) for n in _names(spark, root, "v=")]
+    v = max(taken, default=0) + 1
+    while True:
+        fs, p = _fs(spark, os.path.join(root, f"v={v}.lock"))
+        if fs.createNewFile(p):
+            return v
+        v += 1
 
 
 def checked(points: DataFrame, dim: int) -> DataFrame:
@@ -85,20 +115,21 @@ def checked(points: DataFrame, dim: int) -> DataFrame:
 
 
 def write_points(spark: SparkSession, root: str, points: DataFrame, dim: int) -> int:
-    """S7 sink: write ``points`` (already merged) as the next version."""
+    """S7 sink: write ``points`` (whole buckets, already merged) as the next version."""
     dim = collection_dim(spark, root, dim)
-    v = (versions(spark, root) or [0])[-1] + 1
-    (checked(points, dim).sortWithinPartitions("id")
-     .write.mode("overwrite").parquet(os.path.join(root, f"v={v}")))
+    v = _claim_version(spark, root)
+    (checked(points, dim).withColumn("bucket", bucket_of()).repartition("bucket").sortWithinPartitions("bucket", "id")
+     .write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(root, f"v={v}")))
     return v
 
 
-def upsert_points(spark: SparkSession, root: str, new: DataFrame, dim: int) -> int:
-    """Keyed replacement by id against the current version, written as a new one."""
+def upsert_points(spark: SparkSession, root: str, new: DataFrame, dim: int, order: str | None = None) -> int:
+    """Keyed replacement by id: only the buckets of the new ids are read and written."""
     from ..operators.ingest import upsert
-    old = read_points(spark, root)
-    merged = new if old is None else upsert(old, new)
-    return write_points(spark, root, merged, dim)
+    touched = [r[0] for r in new.select(bucket_of().alias("b")).distinct().collect()]  # at most BUCKETS numbers
+    old = read_points(spark, root, touched)
+    keep = old if old is not None else new.drop(order).where("false") if order else new.where("false")
+    return write_points(spark, root, upsert(keep, new, order=order), dim)
 
 
 def point_count(points: DataFrame) -> DataFrame:

@@ -121,3 +121,36 @@ def test_collection_rejects_wrong_dimension(spark, tmp_dir):
     with pytest.raises(Exception):
         CO.write_points(spark, root, bad, 3)
     assert CO.read_points(spark, root) is None  # nothing half-written became a version
+
+
+def test_bytes_that_cannot_be_decoded_are_rejects(spark):
+    urls = spark.createDataFrame([("s", i, f"u{i}") for i in range(5)], "source string, seq long, url string")
+    page = "<p>é</p>"
+    fetched = spark.createDataFrame([
+        ("u0", 200, bytearray(page.encode()), "UTF-8"), ("u1", 200, bytearray(page.encode("utf-16-le")), "UTF-16LE"),
+        ("u2", 200, bytearray(b"\xff<p>"), "UTF-8"), ("u3", 404, None, None)], "url string, status int, content binary, charset string")
+    for first in (False, True):
+        got = {r.url: (r.route, r.article) for r in I.route(urls, fetched, join_first=first).collect()}
+        assert got["u0"] == got["u1"] == ("accepted", "é")
+        assert [got[f"u{i}"][0] for i in (2, 3, 4)] == ["undecodable", "http_error", "not_fetched"]
+
+
+def test_upsert_touches_only_its_buckets(spark, tmp_dir):
+    import os
+    import pytest
+    from pagesift.sources import collection as CO
+    root = os.path.join(tmp_dir, "c")
+    CO.create_collection(spark, root, "c", 2)
+    rows = lambda ids, x: spark.createDataFrame([(i, [x, 1.0]) for i in ids], "id long, vector array<float>")
+    assert CO.upsert_points(spark, root, rows(range(500), 0.0), 2) == 1
+    before = CO.bucket_paths(spark, root)
+    newer = rows([7, 900], 5.0).selectExpr("*", "2 AS version").union(rows([7], 9.0).selectExpr("*", "3 AS version")).union(rows([900], 4.0).selectExpr("*", "1 AS version"))
+    assert CO.upsert_points(spark, root, newer, 2, order="version") == 2
+    after = CO.bucket_paths(spark, root)
+    assert sum(before[b] != after[b] for b in after) <= 2
+    got = {r.id: r.vector[0] for r in CO.read_points(spark, root).collect()}
+    assert len(got) == 501 and got[7] == 9.0 and got[900] == 5.0 and got[8] == 0.0
+    with pytest.raises(ValueError):
+        CO.create_collection(spark, root, "c", 3)
+    with pytest.raises(ValueError):
+        CO.upsert_points(spark, root, rows([1], 1.0), 3)
