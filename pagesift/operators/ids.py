@@ -10,6 +10,8 @@ add each row's index inside its partition. Only the per-partition counts
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,3 +45,25 @@ def dense_index(df: DataFrame, order_cols: list[str], start: int | None = 1,
             .join(F.broadcast(offsets), "_pid")
             .withColumn(col, (base + F.col("_off") + F.col("_local")).cast("long"))
             .drop("_pid", "_local", "_off"))
+
+
+def keyed_index(df: DataFrame, order_cols: list[str], start: int = 1, col: str = "id") -> DataFrame:
+    """``dense_index`` for wide rows: only the order columns are sorted and checkpointed.
+
+    The distinct keys are numbered (with how many rows each has) and joined
+    back, so the rows themselves move once, by their key. Rows of equal keys
+    are numbered in the order of the hash of all their columns.
+    """
+    keys = df.groupBy(*order_cols).agg(F.count(F.lit(1)).alias("_n"))
+    ordered = cut_lineage(keys.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id()))
+    sums = ordered.groupBy("_pid").agg(F.sum("_n").alias("_s"))
+    # One row per partition: the bound is the partition count, not the data.
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_pid", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    first = (ordered.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(offsets), "_pid")
+             .select(*[F.col(c).alias(f"_k_{c}") for c in order_cols], (F.col("_off") + F.col("_in")).alias("_first")))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in order_cols])
+    turn = F.row_number().over(Window.partitionBy(*order_cols).orderBy(F.xxhash64(*df.columns)))
+    return (df.join(first, same).withColumn(col, (F.lit(int(start)) + F.col("_first") + turn - 1).cast("long"))
+            .select(*df.columns, col))

@@ -16,7 +16,7 @@ from ..config import ENCODE_BATCH, INSERT_BATCH, MAX_WORDS
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.encoders import Encoder
-from .ids import dense_index
+from .ids import keyed_index
 
 ACCEPTED = "accepted"
 # Reject reasons ("too_long" and "http_410" are the
@@ -126,7 +126,7 @@ def indexed_urls(urls: DataFrame, done: DataFrame) -> DataFrame:
 
 def assign_ids(acc: DataFrame, id_start: int) -> DataFrame:
     """Ids id_start, id_start+1, ... dense over accepted rows in (source, seq) order."""
-    return dense_index(acc, ["source", "seq"], start=id_start, col="id")
+    return keyed_index(acc, ["source", "seq"], start=id_start, col="id")
 
 
 def batch_plan(with_ids: DataFrame, id_start: int, encode_batch: int = ENCODE_BATCH,

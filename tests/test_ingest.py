@@ -154,3 +154,14 @@ def test_upsert_touches_only_its_buckets(spark, tmp_dir):
         CO.create_collection(spark, root, "c", 3)
     with pytest.raises(ValueError):
         CO.upsert_points(spark, root, rows([1], 1.0), 3)
+
+
+def test_keyed_index_with_repeats_and_nulls(spark):
+    from pagesift.operators.ids import keyed_index
+    rows = [("a", i % 7, f"x{i}") for i in range(40)] + [(None, 3, "n"), ("b", None, "m"), ("b", None, "m")]
+    df = spark.createDataFrame(rows, "source string, seq long, text string").repartition(5)
+    got = sorted((r.id, r.source, r.seq, r.text) for r in keyed_index(df, ["source", "seq"], start=10).collect())
+    assert [g[0] for g in got] == list(range(10, 10 + len(rows)))
+    assert sorted(map(str, (g[1:] for g in got))) == sorted(map(str, rows))
+    order = [(g[1] is not None, g[1] or "", g[2] is not None, g[2] or 0) for g in got]
+    assert order == sorted(order)
