@@ -280,7 +280,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
             a, b = bucket_links(ready[:, 0].copy().view(np.uint64), turn, distance)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    buckets = keyed.select("fp", "mask", "value").repartition("mask", "value").sortWithinPartitions("mask", "value")
+    buckets = keyed.select("fp", "mask", "value").repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
     return buckets.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -291,7 +291,7 @@ def components(edges: DataFrame) -> DataFrame:
     its smallest neighbour; the rounds grow with the logarithm of the longest
     path. Each round is checkpointed.
     """
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
