@@ -23,7 +23,7 @@ from .common import map_texts, read_table
 
 #: The pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 CACHED_CHARS = 64
 
 

@@ -17,7 +17,7 @@ ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "strin
          "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()),
          "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
 # Texts handed to a Python function at a time (bytes): bounds a worker's memory.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
 
 
 def sha256_hex(data: bytes) -> str:

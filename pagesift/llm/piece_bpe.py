@@ -28,7 +28,7 @@ from .common import map_texts, read_table, sha256_hex
 
 MARK = "▁"
 codecs.register_error("replace-bytes", lambda e: ("\ufffd", e.start + 1))  # one for each byte
-PAIR_ENTRIES = 1_000_000
+PAIR_ENTRIES = 250_000
 
 
 class PieceBpe:
@@ -59,7 +59,8 @@ class PieceBpe:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.usable), None) for p in self.usable}
-        self.fits: dict[str, bool] = {}
+        # Pairs of tokens, joined by a line feed (no piece holds one), by whether they fit.
+        self.fits = SegmentCache(lambda pair: self._apart(*pair.split("\n")), PAIR_ENTRIES)
         # True if some piece holds a mark after another character: then texts stay whole.
         self.whole = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id)
         self.segment = SegmentCache(self._segment)
@@ -84,17 +85,9 @@ class PieceBpe:
                     heapq.heappush(heap, (-s, left, pair))
         return [t for t in token if t is not None]
 
-    def compatible(self, left: str, right: str) -> bool:
-        key = left + "\n" + right  # no piece holds a line feed
-        fit = self.fits.get(key)
-        if fit is None:
-            if len(self.fits) >= PAIR_ENTRIES:
-                self.fits.clear()
-            fit = self.fits[key] = self.score.get(left + right) is None and self._apart(left, right)
-        return fit
-
     def _apart(self, left: str, right: str) -> bool:
-        return self.merge(left + right) == [left, right]
+        """Do two tokens, joined and merged again, come back as they were?"""
+        return self.score.get(left + right) is None and self.merge(left + right) == [left, right]
 
     def backtrack(self, text: str) -> list[str]:
         """The encoding of a text whose characters are all in the vocabulary."""
@@ -106,10 +99,10 @@ class PieceBpe:
                 longest[start] = p
         usable = bytearray(b"\x01") * (n + 1)  # positions not yet known to fail
         tokens: list[str] = []
-        at, token, shorter, compatible = 0, longest[0], self.shorter, self.compatible
+        at, token, shorter, fits = 0, longest[0], self.shorter, self.fits
         while True:
             last = tokens[-1] if tokens else None
-            while token and not (usable[at + len(token)] and (last is None or compatible(last, token))):
+            while token and not (usable[at + len(token)] and (last is None or fits[f"{last}\n{token}"])):
                 token = shorter[token]
             if token:
                 tokens.append(token)
