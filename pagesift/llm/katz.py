@@ -43,7 +43,7 @@ from .common import col, read_table, text_bytes
 ORDER = 2
 K = 5                       # counts up to K are discounted
 FLOOR = 0.05                # what larger counts give up, so that no context leaves nothing to other words
-CHUNK_BYTES = 24 << 20      # text of one chunk
+CHUNK_BYTES = 16 << 20      # text of one chunk
 BUCKET_KEYS = 1 << 21       # hashes of one count bucket, on average
 END, BEGIN = b"\n", b"\t"   # white space, so no words
 
