@@ -4,7 +4,13 @@ A feature is a window of 64 bytes. Its entropy is compared with that of
 typical text: the further away, the rarer. In each run of 64 features the
 rarest one (leftmost on ties) gains a point; features with 16 points or more
 are selected, so that a few per kilobyte stand for the text, wherever they
-lie. A selected feature sets five bits of a 2048-bit Bloom filter; after 160
+lie. That is too few, or none, in a short text: texts under 512 bytes, and
+others without any, select the rarest feature of each run of 16 as well, so
+that an edit leaves some. Only texts under 64 bytes, or all of runs of the same
+bytes, are one feature as a whole. An edit that leaves no 64 bytes together
+leaves no feature and no likeness.
+
+A selected feature sets five bits of a 2048-bit Bloom filter; after 160
 different features the next filter of the chain begins.
 
 Two chains are compared filter by filter: the common bits, normalised between
@@ -33,6 +39,7 @@ from .common import SLICE_BYTES, col, map_texts, read_table, sha256_hex, slices
 
 WIDTH = 64            # bytes of a feature, and features of a run
 POINTS = 16
+SHORT, SHORT_RUN = 512, 16  # texts of fewer bytes than SHORT, or without a feature, select in runs of SHORT_RUN as well
 FILTER_BITS, FILTER_KEYS, FILTER_FEATURES = 2048, 5, 160
 CUTOFF = 0.3          # share of the way from chance to full overlap that counts as nothing
 # Entropy of typical text windows, as a share of the most possible (6 bits): centre and spread.
@@ -68,42 +75,44 @@ def _ranks(x: np.ndarray) -> np.ndarray:
     return _rank(np.cumsum(weight))
 
 
-def _select(rank: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    """Positions with enough points, from the runs that begin at ``runs``."""
+def _select(rank: np.ndarray, runs: np.ndarray, run: int, least: int) -> np.ndarray:
+    """Positions with enough points, from the runs that begin at ``runs``; run is a power of 2."""
     key = rank * _POS + np.arange(len(rank))
     width = 1
-    while width < WIDTH:
+    while width < run:
         key = np.minimum(key[:-width], key[width:])
         width *= 2
     best = key[runs] % _POS
     points = np.bincount(best, minlength=len(rank))
-    return np.nonzero((points >= POINTS) & (rank < NEVER))[0]
+    return np.nonzero((points >= least) & (rank < NEVER))[0]
 
 
-def features(texts: list[bytes]) -> list[np.ndarray]:
-    """Positions of the selected features of each text."""
+def features(texts: list[bytes], run: int = WIDTH, least: int = POINTS) -> list[np.ndarray]:
+    """Positions of the selected features of each text: those with ``least`` points from runs of ``run`` features."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-    long = [i for i, t in enumerate(texts) if len(t) >= 2 * WIDTH]
+    long = [i for i, t in enumerate(texts) if len(t) >= WIDTH + run]
     for a, b in slices([len(texts[i]) for i in long], BLOCK):
         part = long[a:b]
         rank = _ranks(np.frombuffer(b"".join(texts[i] for i in part), np.uint8))
         starts = np.cumsum([0, *(len(texts[i]) for i in part)])
         # Only runs inside one text count; windows over a seam are in none of them.
-        runs = np.concatenate([np.arange(starts[k], starts[k + 1] - 2 * WIDTH + 2) for k in range(len(part))])
-        found = _select(rank, runs)
+        runs = np.concatenate([np.arange(starts[k], starts[k + 1] - WIDTH - run + 2) for k in range(len(part))])
+        found = _select(rank, runs, run, least)
         cut = np.searchsorted(found, starts)
         for k, i in enumerate(part):
             out[i] = found[cut[k]:cut[k + 1]] - starts[k]
     for i, t in enumerate(texts):
-        if WIDTH <= len(t) < 2 * WIDTH:  # fewer features than a run: the rarest stands for all
+        if WIDTH <= len(t) < WIDTH + run:  # fewer features than a run: the rarest stands for all
             rank = _ranks(np.frombuffer(t, np.uint8))
             out[i] = np.array([int(np.argmin(rank))])
     return out
 
 
 def _hashes(text: bytes, at) -> list[bytes]:
-    """Hashes of the features; a text without any is one feature itself."""
+    """Hashes of the features, in short texts with those of short runs; a text without any is one feature itself."""
     sha = hashlib.sha1
+    if WIDTH <= len(text) and (len(text) < SHORT or not len(at)):
+        at = np.union1d(at, features([text], SHORT_RUN, 1)[0]).astype(np.int64)
     return [sha(text[p:p + WIDTH]).digest() for p in at] or ([sha(text).digest()] if text else [])
 
 
@@ -160,15 +169,18 @@ def _edited(text: bytes, at: np.ndarray, hashes: list[bytes], kept: int, new: by
 
     A feature's points depend on bytes up to 127 after it, so those before
     kept - 127 are as they were; the rest is computed anew, from 64 bytes before.
+    In short texts, and without features before or after the edit, all is.
     """
     safe = kept - 2 * WIDTH + 1
-    if safe < 4 * WIDTH or len(new) - safe < 2 * WIDTH:
+    if min(len(text), len(new)) < SHORT or not len(at) or safe < 4 * WIDTH or len(new) - safe < 2 * WIDTH:
         return _hashes(new, features([new])[0])
     start = safe - WIDTH
     tail = features([new[start:]])[0] + start
     k = int(np.searchsorted(at, safe))
-    tail = tail[tail >= safe]
-    return hashes[:k] + (_hashes(new, tail) if not k or len(tail) else [])
+    found = np.concatenate([at[:k], tail[tail >= safe]])
+    if not len(found):
+        return _hashes(new, found)
+    return hashes[:k] + [hashlib.sha1(new[p:p + WIDTH]).digest() for p in found[k:]]
 
 
 def compare_neighbours(texts: list[str]) -> list[tuple]:

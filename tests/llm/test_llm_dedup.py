@@ -222,6 +222,34 @@ def test_fingerprints_of_odd_rows(spark, odd, none):
     assert R.fingerprint_edits(odd.where("doc_id = 5")).first().near_next == 1.0
 
 
+def test_short_texts_keep_likeness_when_edited():
+    prose = [t for t in pd.read_parquet(f"{SF}/documents.parquet").text if len(t) > 600 and len(set(t.split())) > 60][:20]
+    assert len(prose) == 20
+    near, other = collections.defaultdict(list), []
+    for n in [*range(64, 200, 6), *range(200, 401, 40)]:
+        for a, b in zip(prose, prose[1:]):
+            cut = a.encode()[:n].decode(errors="ignore")
+            _, _, _, _, edited, follows = R.compare_neighbours([cut, b[100:100 + n]])[0]
+            near[n].append(edited)
+            other.append(follows)
+    for n, found in near.items():
+        if n < 85:  # no 64 bytes are left together
+            assert max(found) == 0
+        elif n >= 142:
+            assert min(found) > 0 and sum(0 < x < 1 for x in found) > len(found) / 2 and sum(found) / len(found) > 0.3
+        elif n >= 128:
+            assert sum(x > 0 for x in found) > 0.8 * len(found)
+    assert sum(other) / len(other) < 0.02
+
+
+def test_text_without_a_feature_selects_the_rarest():
+    text = b"abcdefg " * 80
+    assert not len(R.features([text])[0])
+    hashes = R._hashes(text, [])
+    assert hashes and hashlib.sha1(text).digest() not in hashes
+    assert R._hashes(b"a" * 300, []) == [hashlib.sha1(b"a" * 300).digest()]
+
+
 def test_chain_text_round_trip():
     chain = R.Chain([hashlib.sha1(bytes([i % 256, i // 256])).digest() for i in range(400)])
     back = R.Chain.read(chain.text())
