@@ -128,6 +128,19 @@ def test_added_spans_checks_and_context(spark):
     assert score[0].pii_spans[0].score < score[1].pii_spans[0].score
 
 
+def test_context_on_both_sides_and_over_other_matches(spark):
+    far = "x" + " y" * 24  # 49 code points
+    rows = [("call 555-123-4567 or 555-987-6543", 2), ("ssn: 123-45-6789, 123-45-6788\n123-45-6787", 3),
+            ("ssn 000-45-6789, 123-45-6789", 1), ("123-45-6789 is the ssn", 1), ("555-123-4567 or 555-987-6543 (mobile)", 2),
+            (f"ssn {far} 123-45-6789 {far} ssn", 0), ("ssn" + "." * 45 + "123-45-6789", 1),
+            ("ssn" + "." * 46 + "123-45-6789", 0), ("recall" + "." * 44 + "555-123-4567", 0), ("123-45-6789" + "." * 45 + "ssn", 1),
+            ("123-45-6789" + "." * 46 + "ssn", 0), ("phone \U0001f600 555-123-4567, " + "555-123-4567, " * 9, 3)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: sum(not s.base for s in r.pii_spans) for r in P.find_personal_data(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for _, n in rows]
+    assert P.redact(df).where("doc_id = 0").first().text == "call [LOCAL_PHONE] or [LOCAL_PHONE]"
+
+
 def test_redaction_and_odd_rows(spark, odd, none):
     df = spark.createDataFrame([(1, "é a@b.co, 10.0.0.1!"), (2, None), (3, ""), (4, "4111 1111 1111 1111"), (5, "clean")], "doc_id long, text string")
     assert [r.text for r in P.redact(df).orderBy("doc_id").collect()] == ["é [EMAIL], [IP]!", None, "", "[CARD]", "clean"]
