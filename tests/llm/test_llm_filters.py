@@ -141,6 +141,25 @@ def test_context_on_both_sides_and_over_other_matches(spark):
     assert P.redact(df).where("doc_id = 0").first().text == "call [LOCAL_PHONE] or [LOCAL_PHONE]"
 
 
+def iban(country, bban):
+    rest = int("".join(str(int(c, 36)) for c in bban + country + "00")) % 97
+    return f"{country}{98 - rest:02d}{bban}"
+
+
+def test_ibans_before_capitals_and_digits(spark):
+    rows = [("{} QAR 5", "QA58DOHB00001234567890ABCDEFG"), ("{} PS 1", "PS92PALS000000000400123456702"), ("IBAN {} BIC COBADEFF", "DE89370400440532013000"), ("{} EUR 100", "DE89 3704 0044 0532 0130 00"), ("A {} 12 B", "GB82 WEST 1234 5698 7654 32"),
+            ("{} {} X", "NL91ABNA0417164300"), ("{}\n2024", "NO9386011117947"), ("{} SWIFT ABC", "MT84MALT011000012345MTLCAST001S")]
+    tails = ("{} BIC COBADEFF", "{} EUR 100", "to {} 7")
+    rows += [(tail, iban(c, ("ABCD" + "123456789" * 4)[:n - 4])) for lengths in (P.IBAN_LENGTHS, P.OTHER_LENGTHS)
+             for n, codes in lengths.items() for c in codes.split() for tail in tails]
+    texts = [t.replace("{}", x) for t, x in rows]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.pii_spans if s.kind == "iban"] for r in P.find_personal_data(df).collect()}
+    assert len(rows) > 300
+    assert [got[i] for i in range(len(rows))] == [[x] * t.count("{}") for t, x in rows]
+    assert P.redact(df).where("doc_id = 2").first().text == "IBAN [IBAN] BIC COBADEFF"
+
+
 def test_redaction_and_odd_rows(spark, odd, none):
     df = spark.createDataFrame([(1, "é a@b.co, 10.0.0.1!"), (2, None), (3, ""), (4, "4111 1111 1111 1111"), (5, "clean")], "doc_id long, text string")
     assert [r.text for r in P.redact(df).orderBy("doc_id").collect()] == ["é [EMAIL], [IP]!", None, "", "[CARD]", "clean"]
