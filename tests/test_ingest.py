@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from places import SF_MID, SF_SMALL
 from pagesift.functions.encoders import HashEncoder, ModelEncoder
 from pagesift.operators import ingest as I
 from pagesift.operators.ids import dense_index

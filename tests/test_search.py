@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from places import SF_MID, SF_SMALL
 from pagesift.plans import catalog as C
 
 
