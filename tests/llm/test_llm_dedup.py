@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 import xxhash
 
+from llm_brute import bits_of, classes
 from pagesift.llm import rare_digest as R
 from pagesift.llm import simhash_gph as G
 from pagesift.llm import suffix_dedup as S
@@ -84,37 +85,6 @@ def test_substring_dedup_odd_rows(spark, odd, none):
     assert S.remove_repeats(none).collect() == []
 
 
-def bits_of(text):
-    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
-    if not words:
-        return 0
-    parts = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in parts]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def classes(fps, ids):
-    parent = list(range(len(fps)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    f = np.array(fps, np.uint64)
-    for i in range(len(f)):
-        for j in np.nonzero(np.bitwise_count(f ^ f[i]) <= 3)[0].tolist():
-            a, b = find(i), find(j)
-            parent[max(a, b)] = min(a, b)
-    roots = [find(i) for i in range(len(f))]
-    low = {}
-    for r, i in zip(roots, ids):
-        if i is not None:
-            low[r] = min(low.get(r, i), i)
-    return [low.get(r) for r in roots], roots
-
-
 def test_simhash_groups(spark, odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()] + [(100 + i, t) for i, t in enumerate(pd.read_parquet(f"{SF}/documents.parquet").text)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from llm_brute import BASE, base_spans, judged, lower, words
 from pagesift.llm import pii as P
 from pagesift.llm import quality_rff as Q
 from pagesift.llm import wu_manber as W
@@ -17,34 +18,6 @@ from pagesift.llm import wu_manber as W
 SF = "/root/testdata/sf0.01"
 
 
-def lower(t):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-
-
-def words(t):
-    return re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
-
-
-def judged(texts, bench):
-    windows = collections.defaultdict(set)
-    for item, t in bench:
-        w = words(t)
-        m = min(13, len(w))
-        for i in range(len(w) - m + 1 if m else 0):
-            windows[tuple(w[i:i + m])].add("" if item is None else str(item))
-    out = []
-    for t in texts:
-        w, hit, items = words(t), set(), set()
-        for m in {len(k) for k in windows}:
-            for i in range(len(w) - m + 1):
-                found = windows.get(tuple(w[i:i + m]))
-                if found:
-                    hit.update(range(i, i + m))
-                    items |= found
-        out.append((len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    return out
-
-
 @pytest.mark.parametrize("block_bytes", [W.BLOCK_BYTES, 1500])  # 1500: several passes, merged
 def test_decontamination(spark, block_bytes):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 3 = 0 OR text LIKE '%a%'")
@@ -78,30 +51,6 @@ def test_long_items_are_cut_without_loss(spark, monkeypatch):
     assert W.decontaminate(docs, bench).where("n_hit = 13").count() == 188
 
 
-BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-        ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
-
-
-def luhn(d):
-    total = 0
-    for i, c in enumerate(reversed(d)):
-        v = int(c) * (1 + i % 2)
-        total += v - 9 if v > 9 else v
-    return total % 10 == 0
-
-
-def base_spans(t):
-    out = []
-    for rank, (kind, pattern) in enumerate(BASE):
-        for m in re.finditer(pattern, t, re.A):
-            d = re.sub("[^0-9]", "", m[0])
-            ok = {"email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")),
-                  "card": lambda: 12 <= len(d) <= 19 and luhn(d), "phone": lambda: 9 <= len(d) <= 15}[kind]()
-            if ok:
-                out.append((m.start(), rank, m.end(), kind))
-    return sorted(out)
-
-
 def test_base_spans(spark):
     rng = random.Random(3)
     bits = ["a", "@", ".", "b.c", "1", "22", "255", "+", "-", " ", "(", ")", "é", "\U0001f600", "_", "%", "4111111111111111",

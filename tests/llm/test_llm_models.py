@@ -129,8 +129,7 @@ def test_pipeline_stages(spark):
     import corpus_pipeline as pipe
     import public_tokenizers
     import sentencepiece
-    from test_llm_dedup import bits_of, classes
-    from test_llm_filters import base_spans, judged
+    from llm_brute import base_spans, bits_of, classes, judged
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -165,7 +164,7 @@ def test_registered_queries_and_twins(spark):
 
     from pagesift.llm import queries as LQ
     names = list(LQ.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     con = duckdb.connect()
     for t in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
