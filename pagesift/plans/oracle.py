@@ -456,16 +456,33 @@ SELECT source, url, status, route AS reason FROM routed WHERE route <> 'accepted
 
 # ---------------------------------------------------------------- approximate search
 
-_ANN_CELLS = """
+def _lloyd(parts: int, cells: str, rounds: int = 5) -> str:
+    """CTEs c0 ... c<rounds> (part, cell, c): trained centres of the vectors' parts, rounded to 6 digits each round."""
+    out = f"""
 e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-centers AS (SELECT v AS c, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cell
-            FROM e QUALIFY row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) <= 16),
+x AS MATERIALIZED (SELECT vec_id, p AS part, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v FROM e, range({parts}) AS t(p)),
+c0 AS MATERIALIZED (SELECT part, v AS c, r - 1 AS cell FROM (
+  SELECT part, v, row_number() OVER (PARTITION BY part ORDER BY md5(vec_id::VARCHAR), vec_id) AS r FROM x) WHERE r <= {cells})"""
+    for k in range(rounds):
+        out += f""",
+a{k} AS MATERIALIZED (SELECT part, v, cell FROM (SELECT x.vec_id, x.part, x.v, c.cell, row_number() OVER (PARTITION BY x.vec_id, x.part ORDER BY
+       floor((list_dot_product(x.v, c.c) - list_dot_product(c.c, c.c) / 2) * 1e6 + 0.5) DESC, c.cell) AS r FROM x JOIN c{k} c USING (part)) WHERE r = 1),
+m{k} AS (SELECT part, cell, i, floor(sum(x) / count(*) * 1e6 + 0.5) / 1e6 AS m
+       FROM (SELECT part, cell, unnest(range(len(v))) AS i, unnest(v) AS x FROM a{k}) GROUP BY part, cell, i),
+c{k + 1} AS MATERIALIZED (SELECT part, cell, coalesce(m, c) AS c FROM c{k}
+       LEFT JOIN (SELECT part, cell, list(m ORDER BY i) AS m FROM m{k} GROUP BY part, cell) USING (part, cell))"""
+    return out.strip()
+
+
+_N_CELLS = "(SELECT ceil(2 * sqrt(count(*))) FROM embeddings)"
+_ANN_CELLS = f"""
+{_lloyd(1, _N_CELLS)},
 near AS (SELECT vec_id, v, cell, row_number() OVER (PARTITION BY vec_id ORDER BY
-           floor((list_dot_product(v, c) - list_dot_product(c, c) / 2) * 1e6 + 0.5) DESC, cell) AS r FROM e, centers)"""
+           floor((list_dot_product(v, c) - list_dot_product(c, c) / 2) * 1e6 + 0.5) DESC, cell) AS r FROM e, c5)"""
 _ANN_PLANES = """
 e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 planes AS (SELECT t, b, list_transform(range(64), lambda j: CASE WHEN md5(t::VARCHAR || '-' || b::VARCHAR || '-' || j::VARCHAR) < '8' THEN 1.0 ELSE -1.0 END::DOUBLE) AS p
-           FROM range(12) AS x(t), range(4) AS y(b)),
+           FROM range(18) AS x(t), range(4) AS y(b)),
 keys AS (SELECT vec_id, any_value(v) AS v, t,
                 sum(CASE WHEN floor(list_dot_product(v, p) * 1e6 + 0.5) >= 0 THEN (1 << b::INTEGER) ELSE 0 END) AS k
          FROM e, planes GROUP BY vec_id, t)"""
@@ -475,18 +492,28 @@ ranked AS (SELECT query_id, id, round(raw, 6) AS score,
            FROM (SELECT query_id, id, any_value(list_dot_product(qv, cv)) AS raw FROM cand GROUP BY query_id, id))"""
 _IVF = f"""{_ANN_CELLS.strip()},
 cand AS (SELECT q.vec_id AS query_id, c.vec_id AS id, q.v AS qv, c.v AS cv FROM near q JOIN near c ON q.cell = c.cell
-         WHERE q.r <= 4 AND c.r = 1),
+         WHERE q.r <= ceil({_N_CELLS} / 2) AND c.r = 1),
 {_ANN_RANKED.strip()}"""
 _LSH = f"""{_ANN_PLANES.strip()},
 cand AS (SELECT q.vec_id AS query_id, c.vec_id AS id, q.v AS qv, c.v AS cv FROM keys q JOIN keys c ON q.t = c.t AND q.k = c.k),
 {_ANN_RANKED.strip()}"""
 
-for _name, _text in (("ann_ivf", _IVF), ("ann_lsh", _LSH)):
+_PQ = f"""{_lloyd(16, "(SELECT greatest(1, least(256, count(*) // 4)) FROM embeddings)")},
+code AS MATERIALIZED (SELECT vec_id, part, c FROM (SELECT x.vec_id, x.part, c.c, row_number() OVER (PARTITION BY x.vec_id, x.part ORDER BY
+          floor((list_dot_product(x.v, c.c) - list_dot_product(c.c, c.c) / 2) * 1e6 + 0.5) DESC, c.cell) AS r FROM x JOIN c5 c USING (part)) WHERE r = 1),
+decoded AS MATERIALIZED (SELECT vec_id, flatten(list(c ORDER BY part)) AS d FROM code GROUP BY vec_id),
+short AS (SELECT query_id, id FROM (SELECT q.vec_id AS query_id, d.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY
+            floor(list_dot_product(q.v, d.d) * 1e6 + 0.5) DESC, d.vec_id) AS r FROM e q, decoded d) WHERE r <= 100),
+cand AS (SELECT query_id, id, q.v AS qv, c.v AS cv FROM short JOIN e q ON q.vec_id = query_id JOIN e c ON c.vec_id = id),
+{_ANN_RANKED.strip()}"""
+
+for _name, _text in (("ann_ivf", _IVF), ("ann_lsh", _LSH), ("ann_pq", _PQ)):
     sql(_name, f"WITH {_text} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM ranked WHERE rank <= 10")
 sql("ann_recall", f"""
-WITH exact AS ({_SQL["vector_topk"]}), ivf AS ({_SQL["ann_ivf"]}), lsh AS ({_SQL["ann_lsh"]}),
+WITH exact AS ({_SQL["vector_topk"]}), ivf AS ({_SQL["ann_ivf"]}), lsh AS ({_SQL["ann_lsh"]}), pq AS ({_SQL["ann_pq"]}),
 hits AS (SELECT 'ivf' AS method, query_id, count(ivf.id) AS n FROM exact LEFT JOIN ivf USING (query_id, id) GROUP BY query_id
-         UNION ALL SELECT 'lsh', query_id, count(lsh.id) FROM exact LEFT JOIN lsh USING (query_id, id) GROUP BY query_id)
+         UNION ALL SELECT 'lsh', query_id, count(lsh.id) FROM exact LEFT JOIN lsh USING (query_id, id) GROUP BY query_id
+         UNION ALL SELECT 'pq', query_id, count(pq.id) FROM exact LEFT JOIN pq USING (query_id, id) GROUP BY query_id)
 SELECT method, round(avg(n / 10.0), 6) AS recall, count(*) AS n_queries FROM hits GROUP BY method
 """)
 sql("sitemap_rejects", f"""
