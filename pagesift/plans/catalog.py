@@ -108,15 +108,17 @@ def q_paragraphs(spark, sf_dir):
 
 @register("articles")
 def q_articles(spark, sf_dir):
+    # Through a generator the paragraphs are computed once, however often they are used.
     p = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
-    return p.select("page_id", "url", H.article_text("html").alias("article"),
-                    F.size(H.paragraphs("html")).alias("n_paragraphs"),
-                    T.word_count(H.article_text("html")).alias("n_words"))
+    p = p.select("page_id", "url", F.explode(F.array(H.paragraphs("html"))).alias("paragraphs"))
+    p = p.select("page_id", "url", F.array_join("paragraphs", " ").alias("article"), F.size("paragraphs").alias("n_paragraphs"))
+    return p.withColumn("n_words", T.word_count("article"))
 
 
 @register("published")
 def q_published(spark, sf_dir):
-    f = X.fetched_pages(spark, sf_dir)
+    """every page, with the dates that the fixtures put in (pages that answer with an error have none)."""
+    f = X.dated_pages(spark, sf_dir)
     return f.select("page_id", "status", H.published("html").alias("published"))
 
 
@@ -610,14 +612,17 @@ def q_best_sentence(spark, sf_dir):
                        F.abs("score").alias("sentence_distance"))
 
 
+from ..operators import postings as P  # noqa: E402
+
+
 @register("lexical_topk")
 def q_lexical_topk(spark, sf_dir):
-    """Documents stored as sparse (bucket, weight) vectors, top-5 per
-    benchmark query; same ranking as the dense plan."""
+    """Documents stored as postings in impact order, top-5 per benchmark
+    query with pruning; same ranking as the dense plan."""
     d = read_table(spark, sf_dir, "documents", "doc_id", "text").where(T.under_length("text"))
-    pts = d.select(F.col("doc_id").alias("id"), HASH.sparse("text").alias("vector"))
+    index = P.build_postings(d.select(F.col("doc_id").alias("id"), HASH.sparse("text").alias("vector")))
     q = benchmark_queries(spark, sf_dir).select("query_id", HASH.column("query").alias("vector"))
-    res = topk.vector_topk(pts, q, DOC_SEARCH_K, sparse=True, dim=HASH.dim)
+    res = P.postings_topk(index, q, DOC_SEARCH_K)
     return res.select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 

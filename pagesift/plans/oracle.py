@@ -79,8 +79,8 @@ SELECT page_id, url, {S.article_text('html')} AS article, len({S.paragraphs('htm
 """)
 
 sql("published", f"""
-WITH {S.FETCHED.strip()}
-SELECT page_id, status, {S.published('html')} AS published FROM fetched
+WITH {S.DATED.strip()}
+SELECT page_id, status, {S.published('html')} AS published FROM dated
 """)
 
 sql("word_counts", f"SELECT doc_id, {S.word_count('text')} AS n_words FROM documents")

@@ -127,8 +127,8 @@ def key(s: str) -> str:
 HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]+)', 1)"
 SITE = r"regexp_extract(host, '([^.]+\.[^.]+)$', 1)"
 
-FETCHED = f"""
-fetched AS (
+DATED = """
+dated AS (
   SELECT page_id, url,
          CASE WHEN page_id % 23 = 0 THEN 410 WHEN page_id % 29 = 0 THEN 404 ELSE 200 END AS status,
          CASE WHEN page_id % 23 <> 0 AND page_id % 29 <> 0 THEN
@@ -136,8 +136,9 @@ fetched AS (
                 '<time datetime="x"> <b>' || page_id::VARCHAR || '</b> nov. 2024</time><time>z</time><h1>')
                 ELSE html END
          END AS html
-  FROM pages WHERE page_id % 31 <> 0
+  FROM pages
 )"""
+FETCHED = f"{DATED},\nfetched AS (SELECT * FROM dated WHERE page_id % 31 <> 0)"
 
 URLS = f"""
 urls AS (

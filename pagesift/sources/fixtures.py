@@ -43,10 +43,15 @@ def http_status(page_id) -> Column:
 
 
 def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, url, status, html): what a fetcher landed.
+    """(page_id, url, status, html): what a fetcher landed; page_id % 31 = 0 never fetched."""
+    return dated_pages(spark, sf_dir).where(F.pmod("page_id", F.lit(31)) != 0)
+
+
+def dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, status, html) of every page.
 
     status 410 / 404 / 200 by page_id; html only for 200; a publishing date
-    injected before <h1> on four pages in five; page_id % 31 = 0 never fetched.
+    injected before <h1> on four pages in five.
     """
     p = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
     pid = F.col("page_id")
@@ -55,9 +60,7 @@ def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit("</b> nov. 2024</time><time>z</time><h1>"))
     html = F.when(F.pmod(pid, F.lit(5)) != 0, F.replace(F.col("html"), F.lit("<h1>"), time_tag)) \
         .otherwise(F.col("html"))
-    return (p.where(F.pmod(pid, F.lit(31)) != 0)
-            .select("page_id", "url", status.alias("status"),
-                    F.when(status == 200, html).alias("html")))
+    return p.select("page_id", "url", status.alias("status"), F.when(status == 200, html).alias("html"))
 
 
 def url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
