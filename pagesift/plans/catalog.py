@@ -555,6 +555,7 @@ def q_decode_rejects(spark, sf_dir):
 
 from ..streaming import ingest_stream as RS1  # noqa: E402
 from ..streaming import search_stream as RS2  # noqa: E402
+from ..operators.ids import dense_index  # noqa: E402
 
 
 @register("stream_ingest")
@@ -567,17 +568,30 @@ def q_stream_ingest(spark, sf_dir):
                          vec_fp("vector").alias("fp"))
 
 
-def _packed(high: str, low: str, base: int):
-    """Two numbers as one; an error where ``low`` does not fit."""
-    return F.when(F.col(low).between(0, base - 1), F.col(high) * base + F.col(low)).otherwise(
-        F.raise_error(F.lit(f"{low} must be between 0 and {base - 1}")).cast("long"))
+@register("stream_rejects")
+def q_stream_rejects(spark, sf_dir):
+    """Pages streamed as bytes; what the stream rejects (one page in 37 is cut inside a character)."""
+    work = shared_path(spark, "stream-rejects-" + uuid.uuid4().hex)
+    f = X.fetched_pages(spark, sf_dir)
+    cut = F.when(F.col("page_id") % 37 == 5, F.unhex(F.lit("E9"))).otherwise(F.unhex(F.lit("")))
+    landed = f.select("page_id", "url", "status", F.concat(F.encode("html", "UTF-8"), cut).alias("content"), F.lit("UTF-8").alias("charset"))
+    _, rejects = RS1.stream_ingest(spark, landed, _urls(spark, sf_dir), work, HASH)
+    return rejects.select("source", "url", "status", "reason")
+
+
+@register("stream_progress")
+def q_stream_progress(spark, sf_dir):
+    """Rows of each route, summed over the micro-batches that a listener saw."""
+    work, progress = shared_path(spark, "stream-progress-" + uuid.uuid4().hex), RS1.ProgressTable()
+    RS1.stream_ingest(spark, X.fetched_pages(spark, sf_dir), _urls(spark, sf_dir), work, HASH, progress=progress)
+    seen = progress.table(spark).where(F.col("counter").isin(list(RS1.ROUTES)))
+    return seen.groupBy(F.col("counter").alias("route")).agg(F.sum("value").alias("n")).where("n > 0")
 
 
 def conversation_queries(spark, sf_dir):
-    """User turns of the conversations table as a query stream."""
-    c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    return c.where(F.col("role") == "user").select(
-        _packed("conv_id", "turn", 1 << 20).alias("query_id"), F.col("text").alias("query"))
+    """User turns of the conversations table as a query stream, numbered in (conv_id, turn) order."""
+    c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").where(F.col("role") == "user")
+    return dense_index(c.select("conv_id", "turn", F.col("text").alias("query")), ["conv_id", "turn"], start=0, col="query_id")
 
 
 @register("stream_search")
@@ -586,15 +600,16 @@ def q_stream_search(spark, sf_dir):
     points, articles, _ = pages_collection(spark, sf_dir)
     points, articles = points.persist(), articles.persist()
     work = shared_path(spark, "stream-search-" + uuid.uuid4().hex)
-    res = RS2.stream_search(spark, conversation_queries(spark, sf_dir), points, articles, HASH, SEARCH_K, work)
-    return res.select("query_id", "rank", "date", "url", "score", "sentence", "sentence_distance")
+    asked = conversation_queries(spark, sf_dir)
+    res = RS2.stream_search(spark, asked, points, articles, HASH, SEARCH_K, work)
+    points.unpersist()
+    articles.unpersist()
+    return res.join(asked.select("query_id", "conv_id", "turn"), "query_id") \
+        .select("conv_id", "turn", "rank", "date", "url", "score", "sentence", "sentence_distance")
 
 
 # ---------------------------------------------------------------- sentence-level and sparse search
 
-SENT_ID_BASE = 1_000_000  # sentence id = doc_id * base + pos (pos < base: texts are < 1M sentences)
-
-
 @register("best_sentence")
 def q_best_sentence(spark, sf_dir):
     """A6/F6 over the whole corpus: per benchmark query, the sentence of any
@@ -603,12 +618,11 @@ def q_best_sentence(spark, sf_dir):
     s = d.select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
     # Sentences are short: sparse (bucket, weight) vectors move far less data
     # than 384 dense floats; the scorer densifies one Arrow batch at a time.
-    s = s.select(_packed("doc_id", "pos", SENT_ID_BASE).alias("id"), "sentence",
-                 HASH.sparse("sentence").alias("vector"))
+    # A document's sentences come in order, so of equal ones the first stays.
+    s = s.select(F.col("doc_id").alias("id"), "pos", "sentence", HASH.sparse("sentence").alias("vector"))
     q = benchmark_queries(spark, sf_dir).select("query_id", HASH.column("query").alias("vector"))
-    best = topk.vector_topk(s, q, 1, metric="euclidean", carry=["sentence"], dim=HASH.dim, sparse=True)
-    return best.select("query_id", F.floor(F.col("id") / SENT_ID_BASE).alias("doc_id"),
-                       (F.col("id") % SENT_ID_BASE).cast("int").alias("pos"), "sentence",
+    best = topk.vector_topk(s, q, 1, metric="euclidean", carry=["sentence", "pos"], dim=HASH.dim, sparse=True)
+    return best.select("query_id", F.col("id").alias("doc_id"), F.col("pos").cast("int").alias("pos"), "sentence",
                        F.abs("score").alias("sentence_distance"))
 
 
@@ -646,6 +660,7 @@ def q_rejects_sink(spark, sf_dir):
     rej = I.rejects(_routed(spark, sf_dir)).persist()
     CO.write_rejects(rej.where(F.col("source") == "source0"), path)
     CO.write_rejects(rej.where(F.col("source") != "source0"), path)
+    rej.unpersist()
     return spark.read.parquet(path).select("source", "url", "status", "reason")
 
 

@@ -408,7 +408,20 @@ corpus AS (
   FROM routed WHERE route = 'accepted'
 )"""
 
-sql("stream_search", _search_sql(_PAGES_CORPUS, 3, True, _CONV_Q))
+sql("stream_search", f"""
+SELECT query_id // 1048576 AS conv_id, query_id % 1048576 AS turn, * EXCLUDE (query_id) FROM ({_search_sql(_PAGES_CORPUS, 3, True, _CONV_Q)})
+""")
+
+sql("stream_rejects", f"""
+WITH {S.ROUTED.strip()}
+SELECT source, url, status, CASE WHEN status = 200 AND seq % 37 = 5 THEN 'undecodable' ELSE route END AS reason FROM routed
+WHERE route <> 'not_fetched' AND (route <> 'accepted' OR seq % 37 = 5)
+""")
+
+sql("stream_progress", f"""
+WITH {S.ROUTED.strip()}
+SELECT route, count(*) AS n FROM routed WHERE route <> 'not_fetched' GROUP BY route
+""")
 
 sql("stream_ingest", f"""
 WITH {S.ROUTED.strip()}

@@ -1,13 +1,11 @@
-"""The vector collection as versioned, bucketed parquet.
-
-A collection is a folder with a one-row metadata table (name, dim, metric)
-and numbered versions of the points table, each split into BUCKETS buckets by
-a hash of the id. An upsert reads and writes only the buckets that its rows
-fall into, as a new version (never a folder being read); readers take, for
-each bucket, the highest complete version that has it. A version number is
-claimed by creating its lock file, so two writers never share one. Points are
-sorted by id within files. On a cluster with a table format, the same
-``upsert`` DataFrame feeds a MERGE instead.
+"""The vector collection as a bucketed parquet table.
+
+A collection is a folder with a one-row metadata table (name, dim, metric) and
+the points, partitioned into BUCKETS buckets by a hash of the id. An upsert
+reads the buckets that its rows fall into, keeps the merged rows in the shared
+checkpoint folder and overwrites just those partitions (dynamic partition
+overwrite). One writer at a time; readers wait for it. Where several must work
+at once, a table format does it: the same ``upsert`` DataFrame feeds a MERGE.
 """
 
 from __future__ import annotations
@@ -18,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import COLLECTION_METRIC
+from ..session import cut_lineage
 
-_META = "_meta"
+_META, _ROWS = "_meta", "buckets"
 BUCKETS = 64
 
 
@@ -63,44 +62,30 @@ def bucket_of(key: str = "id"):
     return F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
 
 
-def _names(spark: SparkSession, path: str, prefix: str) -> list[str]:
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where it does not exist."""
     fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    return [n for n in (st.getPath().getName() for st in fs.listStatus(p)) if n.startswith(prefix)]
+    return [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions, ascending."""
-    found = [int(n[2:]) for n in _names(spark, root, "v=") if not n.endswith(".lock")]
-    return sorted(v for v in found if _exists(spark, os.path.join(root, f"v={v}", "_SUCCESS")))
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
 
 
-def bucket_paths(spark: SparkSession, root: str) -> dict[int, str]:
-    """For each bucket the folder of its highest complete version (at most BUCKETS)."""
-    out = {}
-    for v in versions(spark, root):
-        for name in _names(spark, os.path.join(root, f"v={v}"), "bucket="):
-            out[int(name[7:])] = os.path.join(root, f"v={v}", name)
-    return out
+def move(spark: SparkSession, old: str, new: str) -> None:
+    fs, p = _fs(spark, old)
+    if not fs.rename(p, _fs(spark, new)[1]):
+        raise OSError(f"{old} could not be moved to {new}")
 
 
 def read_points(spark: SparkSession, root: str, buckets: list[int] | None = None) -> DataFrame | None:
-    """The current points (of some buckets); None where there are none."""
-    paths = bucket_paths(spark, root)
-    chosen = [p for b, p in sorted(paths.items()) if buckets is None or b in buckets]
-    return spark.read.parquet(*chosen) if chosen else None
-
-
-def _claim_version(spark: SparkSession, root: str) -> int:
-    """The next version number, claimed for this writer."""
-    taken = [int(n[2:].removesuffix(".lock")) for n in _names(spark, root, "v=")]
-    v = max(taken, default=0) + 1
-    while True:
-        fs, p = _fs(spark, os.path.join(root, f"v={v}.lock"))
-        if fs.createNewFile(p):
-            return v
-        v += 1
+    """The current points (of some buckets); None where none were ever written."""
+    path = os.path.join(root, _ROWS)
+    if not _exists(spark, path):
+        return None
+    points = spark.read.parquet(path)
+    return (points if buckets is None else points.where(F.col("bucket").isin(buckets))).drop("bucket")
 
 
 def checked(points: DataFrame, dim: int) -> DataFrame:
@@ -114,22 +99,16 @@ def checked(points: DataFrame, dim: int) -> DataFrame:
         F.raise_error(F.lit(f"vector dimension differs from the collection's {dim}"))))
 
 
-def write_points(spark: SparkSession, root: str, points: DataFrame, dim: int) -> int:
-    """S7 sink: write ``points`` (whole buckets, already merged) as the next version."""
-    dim = collection_dim(spark, root, dim)
-    v = _claim_version(spark, root)
-    (checked(points, dim).withColumn("bucket", bucket_of()).repartition("bucket").sortWithinPartitions("bucket", "id")
-     .write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(root, f"v={v}")))
-    return v
-
-
-def upsert_points(spark: SparkSession, root: str, new: DataFrame, dim: int, order: str | None = None) -> int:
+def upsert_points(spark: SparkSession, root: str, new: DataFrame, dim: int, order: str | None = None) -> None:
     """Keyed replacement by id: only the buckets of the new ids are read and written."""
     from ..operators.ingest import upsert
+    dim = collection_dim(spark, root, dim)
     touched = [r[0] for r in new.select(bucket_of().alias("b")).distinct().collect()]  # at most BUCKETS numbers
     old = read_points(spark, root, touched)
     keep = old if old is not None else new.drop(order).where("false") if order else new.where("false")
-    return write_points(spark, root, upsert(keep, new, order=order), dim)
+    merged = cut_lineage(checked(upsert(keep, new, order=order), dim).withColumn("bucket", bucket_of()))
+    (merged.repartition("bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(os.path.join(root, _ROWS)))
 
 
 def point_count(points: DataFrame) -> DataFrame:
