@@ -163,3 +163,31 @@ def decode_body(content, charset) -> Column:
             .when(cs.isin("WINDOWS-1252", "CP1252"), F.when(~latin.rlike(undefined), windows))
             .when(cs == "UTF-16BE", be(raw)).when(cs == "UTF-16LE", le(raw))
             .when(cs == "UTF-16", F.when(little, le(body)).otherwise(be(body))))
+
+
+META_RE = r"(?i)<meta\s[^>]*?charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)"
+META_BYTES = 1024
+
+
+def decode_any(content, charset=None) -> Column:
+    """bytes -> struct(text, charset) by the first rule that decodes them.
+
+    In order: a byte order mark (dropped from the text); the declared charset;
+    the charset of a <meta> among the first META_BYTES bytes (one that says
+    UTF-16 was read as ASCII, so it is UTF-8); UTF-8; windows-1252;
+    ISO-8859-1, which takes any bytes. Null bytes give null.
+    """
+    raw = _c(content)
+    code = F.hex(F.substring(raw, 1, 3))
+    rest = lambda n: F.substring(raw, n + 1, 1 << 30)
+    meta = F.upper(F.regexp_extract(F.decode(F.substring(raw, 1, META_BYTES), "ISO-8859-1"), META_RE, 1))
+    meta = F.when(meta.startswith("UTF-16"), F.lit("UTF-8")).otherwise(meta)
+    def attempt(name, body, applies):
+        text = decode_body(body, name)
+        return F.when(applies & text.isNotNull(), F.struct(text.alias("text"), name.alias("charset")))
+
+    named = [meta] if charset is None else [F.upper(F.trim(_c(charset))), meta]
+    said = F.filter(F.transform(F.array(*named), lambda n: F.struct(decode_body(raw, n).alias("text"), n.alias("charset"))), lambda x: x["text"].isNotNull())
+    marks = [("UTF-8", 3, "EFBBBF"), ("UTF-16LE", 2, "FFFE"), ("UTF-16BE", 2, "FEFF")]
+    return F.coalesce(*[attempt(F.lit(c), rest(n), code.startswith(m)) for c, n, m in marks], F.get(said, F.lit(0)),
+                      *[attempt(F.lit(c), raw, F.lit(True)) for c in ("UTF-8", "WINDOWS-1252", "ISO-8859-1")])

@@ -64,3 +64,32 @@ def chunks(text, size: int, overlap: int) -> Column:
     w = words(text)
     return F.transform(chunk_starts(F.size(w), size, overlap),
                        lambda s: F.array_join(F.slice(w, s + 1, size), " "))
+
+
+def sentence_chunks(text, size: int) -> Column:
+    """array<string> of whole sentences packed in order, at most ``size`` words a chunk.
+
+    A chunk takes sentences while their words fit and joins them by a space;
+    a sentence of more words than ``size`` is cut into windows of its own.
+    Words are those of ``word_count``, so joined sentences add up.
+    """
+    if size < 1:
+        raise ValueError("a chunk needs room for a word")
+    # Long sentences as windows first; then every piece fits, and pieces carry whether they are such windows.
+    pieces = F.flatten(F.transform(sentences(text), lambda s: F.when(word_count(s) <= size, F.array(F.struct(
+        s.alias("s"), word_count(s).alias("n"), F.lit(False).alias("alone")))).otherwise(F.transform(chunks(s, size, 0), lambda c: F.struct(
+            c.alias("s"), word_count(c).alias("n"), F.lit(True).alias("alone"))))))
+    # Left to right: where chunks start, and the words of the last one (full after a window).
+    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("i"), F.lit(size).alias("used"))
+
+    def step(a, p):
+        new = p["alone"] | (a["used"] + p["n"] > size)
+        return F.struct(F.when(new, F.array_append(a["at"], a["i"])).otherwise(a["at"]).alias("at"), (a["i"] + 1).alias("i"),
+                        F.when(p["alone"], F.lit(size)).when(new, p["n"]).otherwise(a["used"] + p["n"]).alias("used"))
+
+    def cut(p):
+        at = F.aggregate(p, start, step, lambda a: a["at"])
+        return F.transform(F.arrays_zip(at.alias("a"), F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(p))).alias("b")),
+                           lambda r: F.array_join(F.transform(F.slice(p, r["a"] + 1, r["b"] - r["a"]), lambda x: x["s"]), " "))
+    # One element, so the pieces are computed once.
+    return F.transform(F.array(pieces), lambda p: F.when(F.size(p) == 0, F.array().cast("array<string>")).otherwise(cut(p)))[0]

@@ -16,6 +16,7 @@ from ..config import ENCODE_BATCH, INSERT_BATCH, MAX_WORDS
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.encoders import Encoder
+from . import bloom as B
 from .ids import keyed_index
 
 ACCEPTED = "accepted"
@@ -74,7 +75,7 @@ def route_col(max_words: int = MAX_WORDS, undecodable: Column | None = None) ->
 
 
 def route(urls: DataFrame, fetched: DataFrame, max_words: int = MAX_WORDS,
-          join_first: bool = False) -> DataFrame:
+          join_first: bool = False, stripped: bool = False) -> DataFrame:
     """(source, seq, url, status, article, published, n_words, route).
 
     By default HTML is reduced to article text where the pages lie and the
@@ -83,16 +84,19 @@ def route(urls: DataFrame, fetched: DataFrame, max_words: int = MAX_WORDS,
     first, so only listed ones are reduced; Spark picks the join by the sizes
     it measures. Never-fetched URLs are the batch's own rows without a page.
     Pages may come as bytes (``content``, ``charset``): those that cannot be
-    decoded are rejects.
+    decoded are rejects. ``stripped``: the URLs are stored without trailing
+    blanks, as in tables bucketed by url, which then join without an exchange.
     """
     if "content" in fetched.columns:
         fetched = decoded(fetched)
     else:
         fetched = fetched.withColumn("undecodable", F.lit(False))
-    u = urls.select("source", "seq", strip_url("url").alias("url"))
+    u = urls.select("source", "seq", F.col("url") if stripped else strip_url("url").alias("url"))
     f = fetched.select("url", "status", "html", "undecodable")
     if join_first:
         routed = with_articles(u.join(f, "url", "left"))
+    elif stripped:
+        routed = u.join(with_articles(f).hint("merge"), "url", "left")
     else:
         routed = fetch_outcome(u, with_articles(f))
     return routed.withColumn("route", route_col(max_words, F.coalesce("undecodable", F.lit(False)))).drop("undecodable")
@@ -118,6 +122,20 @@ def pending_urls(urls: DataFrame, done: DataFrame) -> DataFrame:
     return urls.withColumn("url", strip_url("url")).join(d, ["source", "url"], "left_anti")
 
 
+def pending_with_filter(urls: DataFrame, done: DataFrame, n_done: int | None = None) -> DataFrame:
+    """``pending_urls`` with a Bloom filter over the done keys: URLs that are surely new skip the anti join.
+
+    For a resume over mostly new URLs: only what the filter lets through is
+    shuffled. ``n_done`` sizes the filter (counted if not given).
+    """
+    keys = ["source", "url"]
+    d = done.select("source", strip_url("url").alias("url"))
+    bits = B.size_for(d.count() if n_done is None else n_done)
+    marked = B.with_maybe(urls.withColumn("url", strip_url("url")), keys, B.build(d, keys, bits), bits)
+    new, maybe = marked.where("not _maybe").drop("_maybe"), marked.where("_maybe").drop("_maybe")
+    return new.unionByName(maybe.join(d, keys, "left_anti").select(*new.columns))
+
+
 def indexed_urls(urls: DataFrame, done: DataFrame) -> DataFrame:
     """Listed URLs already in the collection."""
     d = done.select("source", strip_url("url").alias("url"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import topk
-from ..session import ensure_checkpoint_dir, ship_package
+from ..session import cut_lineage, ensure_checkpoint_dir, ship_package
 from ..sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,7 @@ from ..sources import fixtures as X  # noqa: E402
 
 HASH = E.HashEncoder()
 CHUNK_WORDS, CHUNK_OVERLAP = 500, 50
+SENTENCE_CHUNK_WORDS = 120
 
 
 def vec_fp(v) -> F.Column:
@@ -147,6 +148,14 @@ def q_chunks(spark, sf_dir):
             .withColumn("n_words", T.word_count("chunk")))
 
 
+@register("sentence_chunks")
+def q_sentence_chunks(spark, sf_dir):
+    """documents packed into chunks of whole sentences, at most 120 words."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return (d.select("doc_id", F.posexplode(T.sentence_chunks("text", SENTENCE_CHUNK_WORDS)).alias("pos", "chunk"))
+            .withColumn("n_words", T.word_count("chunk")))
+
+
 @register("encode")
 def q_encode(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -198,7 +207,10 @@ def q_crawl_stats(spark, sf_dir):
 
 # ---------------------------------------------------------------- ingest
 
+import uuid  # noqa: E402
+
 from ..operators import ingest as I  # noqa: E402
+from ..sources import bucketed as BK  # noqa: E402
 
 
 def _urls(spark, sf_dir):
@@ -263,6 +275,23 @@ def q_pending_urls(spark, sf_dir):
     return I.pending_urls(_listed_twice(spark, sf_dir), _done(spark, sf_dir)).select("source", "seq", "url")
 
 
+@register("pending_filtered")
+def q_pending_filtered(spark, sf_dir):
+    """J6 with a Bloom filter over the done keys."""
+    return I.pending_with_filter(_listed_twice(spark, sf_dir), _done(spark, sf_dir)).select("source", "seq", "url")
+
+
+@register("route_bucketed")
+def q_route_bucketed(spark, sf_dir):
+    """J2/P3 over tables bucketed by url: routing without an exchange."""
+    names = []
+    for kind, df in (("urls", _urls(spark, sf_dir)), ("pages", X.fetched_pages(spark, sf_dir))):
+        names.append(f"{kind}_{uuid.uuid4().hex}")
+        BK.write_bucketed(df, names[-1], shared_path(spark, names[-1]))
+    urls, pages = (BK.read_bucketed(spark, n) for n in names)
+    return I.route(urls, pages, stripped=True).select("source", "seq", "url", "status", "n_words", "route")
+
+
 @register("indexed_urls")
 def q_indexed_urls(spark, sf_dir):
     return I.indexed_urls(_listed_twice(spark, sf_dir), _done(spark, sf_dir)).select("source", "seq", "url")
@@ -400,6 +429,7 @@ def flagship(spark, sf_dir):
 # ---------------------------------------------------------------- ANN / metrics
 
 from ..operators import ann as A  # noqa: E402
+from ..operators import compare as CP  # noqa: E402
 
 ANN_K = 10
 
@@ -444,9 +474,21 @@ def q_ann_recall(spark, sf_dir):
     return functools.reduce(DataFrame.unionByName, found).select("method", "recall", "n_queries")
 
 
-# ---------------------------------------------------------------- URL files, collection, requests
+@register("method_differences")
+def q_method_differences(spark, sf_dir):
+    """difference of recall@10 of each pair of approximate methods, with a paired bootstrap interval."""
+    exact = _REGISTRY["vector_topk"](spark, sf_dir)
+    each = [CP.recall_per_query(_REGISTRY[f"ann_{m}"](spark, sf_dir), exact, ANN_K, m) for m in ("ivf", "lsh", "pq")]
+    return CP.paired_bootstrap(cut_lineage(functools.reduce(DataFrame.unionByName, each)))
+
+
+@register("fused_search")
+def q_fused_search(spark, sf_dir):
+    """the lists of cells and of buckets fused by reciprocal ranks."""
+    return CP.fuse([_REGISTRY[f"ann_{m}"](spark, sf_dir) for m in ("ivf", "lsh")], ANN_K)
 
-import uuid  # noqa: E402
+
+# ---------------------------------------------------------------- URL files, collection, requests
 
 from ..config import COLLECTION_DIM, COLLECTION_METRIC  # noqa: E402
 from ..functions.requests import with_params  # noqa: E402
@@ -544,6 +586,22 @@ def q_decode_pages(spark, sf_dir):
         F.length("text").alias("n_chars"), F.md5(F.col("text")).alias("text_md5"))
 
 
+@register("decode_any_pages")
+def q_decode_any(spark, sf_dir):
+    """pages whose charset is missing or wrong, told from their bytes (by page_id: byte order mark, <meta>, UTF-8, Latin)."""
+    p = read_table(spark, sf_dir, "pages", "page_id", "html")
+    m, mark = F.pmod("page_id", F.lit(5)), lambda h: F.unhex(F.lit(h))
+    latin = F.regexp_replace("html", r"[^\x00-\x7F\xA0-\xFF]", "")
+    tagged = F.concat(F.lit('<meta charset="utf-8">'), "html")
+    kinds = [("UTF-16LE", F.concat(mark("FFFE"), F.encode("html", "UTF-16LE")), "UTF-8"), ("UTF-16BE", F.concat(mark("FEFF"), F.encode("html", "UTF-16BE")), "US-ASCII"),
+             ("UTF-8", F.concat(mark("EFBBBF"), F.encode("html", "UTF-8")), None), ("UTF-8", F.encode(tagged, "UTF-8"), "x-unknown"),
+             ("any", F.encode(F.concat(latin, F.lit("\u00e9!")), "ISO-8859-1"), "utf-8")]
+    content = F.coalesce(*[F.when(m == i, c) for i, (_, c, _) in enumerate(kinds)])
+    declared = F.coalesce(*[F.when(m == i, F.lit(d)) for i, (_, _, d) in enumerate(kinds) if d])
+    found = p.select("page_id", F.explode(F.array(H.decode_any(content, declared))).alias("found"))
+    return found.select("page_id", F.col("found.charset").alias("charset"), F.md5(F.col("found.text")).alias("text_md5"))
+
+
 @register("decode_rejects")
 def q_decode_rejects(spark, sf_dir):
     """Pages whose bytes cannot be decoded, as reject rows."""

@@ -536,3 +536,47 @@ SELECT doc_url, CASE WHEN first_id % 3 = 0 THEN 0 ELSE n END AS n_entries, CASE
        CASE WHEN first_id % 3 = 0 THEN 'malformed' ELSE 'without_loc' END AS reason
 FROM smx JOIN n USING (host, chunk) WHERE first_id % 3 < 2
 """)
+
+sql("route_bucketed", _SQL["route"])
+sql("pending_filtered", _SQL["pending_urls"])
+sql("decode_any_pages", r"""
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'UTF-16LE' WHEN 1 THEN 'UTF-16BE' WHEN 4 THEN 'WINDOWS-1252' ELSE 'UTF-8' END AS charset,
+       md5(CASE page_id % 5 WHEN 3 THEN '<meta charset="utf-8">' || html
+                WHEN 4 THEN regexp_replace(html, '[^\x00-\x7F\x{A0}-\x{FF}]', '', 'g') || chr(233) || '!' ELSE html END) AS text_md5
+FROM pages
+""")
+sql("sentence_chunks", f"""
+WITH RECURSIVE s AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p, w) AS i, piece, alone, {S.word_count('piece')} AS n FROM (
+    SELECT doc_id, p, alone, unnest(c) AS piece, unnest(range(len(c))) AS w FROM (
+      SELECT doc_id, p, {S.word_count('x')} > 120 AS alone, CASE WHEN {S.word_count('x')} > 120 THEN {S.chunks('x', 120, 0)} ELSE [x] END AS c FROM (
+        SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS p FROM (SELECT doc_id, {S.sentences('text')} AS s FROM documents))))),
+c AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum(CASE WHEN alone THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS cuts FROM s),
+after AS MATERIALIZED (  -- where the chunk that begins at i ends: before the first piece that does not fit, or at a window
+  SELECT a.doc_id, a.i, coalesce(min(b.i), (SELECT max(i) + 1 FROM c m WHERE m.doc_id = a.doc_id)) AS nxt
+  FROM c a LEFT JOIN c b ON b.doc_id = a.doc_id AND b.i > a.i AND b.i <= a.i + 121 AND (b.upto - a.upto + a.n > 120 OR a.alone OR b.alone)
+  GROUP BY a.doc_id, a.i),
+chain AS (SELECT doc_id, i, nxt, 0 AS pos FROM after WHERE i = 1
+          UNION ALL SELECT n.doc_id, n.i, n.nxt, pos + 1 FROM chain JOIN after n ON n.doc_id = chain.doc_id AND n.i = chain.nxt),
+made AS (SELECT chain.doc_id, pos, string_agg(piece, ' ' ORDER BY c.i) AS chunk FROM chain JOIN c ON c.doc_id = chain.doc_id AND c.i >= chain.i AND c.i < chain.nxt
+         GROUP BY chain.doc_id, pos)
+SELECT doc_id, pos::INTEGER AS pos, chunk, {S.word_count('chunk')} AS n_words FROM made
+""")
+_PER_QUERY = " UNION ALL ".join(f"SELECT '{m}' AS method, query_id, count({m}.id) / 10.0::DOUBLE AS v FROM exact LEFT JOIN {m} USING (query_id, id) GROUP BY query_id"
+                                for m in ("ivf", "lsh", "pq"))
+sql("method_differences", f"""
+WITH exact AS ({_SQL["vector_topk"]}), ivf AS ({_SQL["ann_ivf"]}), lsh AS ({_SQL["ann_lsh"]}), pq AS ({_SQL["ann_pq"]}),
+v AS MATERIALIZED ({_PER_QUERY}),
+p AS MATERIALIZED (SELECT a.method AS method_a, b.method AS method_b, query_id, a.v - b.v AS d FROM v a JOIN v b USING (query_id) WHERE a.method < b.method),
+cdf AS (SELECT list(c ORDER BY i) AS c FROM (SELECT i, sum(exp(-1) / factorial(i::INTEGER)::DOUBLE) OVER (ORDER BY i) AS c FROM range(8) AS t(i))),
+w AS (SELECT query_id, r, len(list_filter((SELECT c FROM cdf), lambda x: ('0x' || substr(md5(query_id::VARCHAR || ':' || r::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= x)) AS w
+      FROM (SELECT DISTINCT query_id FROM p), range(200) AS t(r)),
+m AS (SELECT method_a, method_b, r, sum(w * d) / sum(w) AS m FROM p JOIN w USING (query_id) GROUP BY method_a, method_b, r HAVING sum(w) > 0)
+SELECT * FROM (SELECT method_a, method_b, count(*) AS n_queries, round(avg(d), 6) AS difference FROM p GROUP BY method_a, method_b)
+JOIN (SELECT method_a, method_b, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY method_a, method_b) USING (method_a, method_b)
+""")
+sql("fused_search", f"""
+WITH ivf AS ({_SQL["ann_ivf"]}), lsh AS ({_SQL["ann_lsh"]}),
+s AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank FROM ivf UNION ALL SELECT query_id, id, rank FROM lsh) GROUP BY query_id, id)
+SELECT query_id, rank::INTEGER AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10
+""")
