@@ -159,6 +159,28 @@ def test_pipeline_stages(spark):
     assert {i: n for i, n in zip(steps[5].doc_id, steps[5].n_tokens)} == {i: len(sp.encode(t)) for i, t in text.items()}
 
 
+def test_stages_keep_columns(spark, odd):
+    """Nulls, repeated rows, odd texts, and columns whose names the operators use or that hold a dot: values stay."""
+    import corpus_pipeline as pipe
+    extra = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_spans", "_items", "_sha", "_copies", "_copy", "_id", "_hash", "_score_", "_id_",
+             "_fp", "a.b", "keep_0", "kept_3"]
+    docs = odd.selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "cast(-1 AS long) AS n_chars",
+                          *[f"concat('{c}', coalesce(cast(doc_id AS string), 'none')) AS `{c}`" for c in extra]).where("doc_id IS NULL OR doc_id <> 7").persist()
+    rows = docs.count()
+    for k, (name, stage) in enumerate(pipe.STAGES[:4]):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert 0 < len(found) <= rows and (name != "personal_data" or len(found) == rows)
+        for r in found:
+            tail = "none" if r.doc_id is None else r.doc_id
+            assert all(r[c] == f"{c}{tail}" for c in extra)
+            assert r.n_chars == (-1 if name != "personal_data" else None if r.text is None else len(r.text))
+    assert pipe.encoding(spark, docs, SF).count() == rows
+    for _, stage in pipe.STAGES:
+        assert stage(spark, docs.where("false"), SF).collect() == []
+
+
 def test_registered_queries_and_twins(spark):
     import duckdb
 
