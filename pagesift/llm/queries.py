@@ -27,5 +27,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from .chat import OP4_SQL
     from .target_resample import OP12_SQL
+    from .turn_repair import OP13_SQL
     from .wu_manber import OP5_SQL
-    return {"op4_chat_round_trip": OP4_SQL, "op5_wu_manber": OP5_SQL, "op12_target_resample": OP12_SQL}
+    return {"op4_chat_round_trip": OP4_SQL, "op5_wu_manber": OP5_SQL, "op12_target_resample": OP12_SQL, "op13_turn_repair": OP13_SQL}

@@ -436,3 +436,61 @@ def op13_turn_repair(spark, sf_dir):
     empty = {"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()}
     return joined.select(F.col("every").alias("conv_id"),
                          *[F.coalesce(F.col(c), F.lit(empty.get(c, 0)).cast(k)).alias(c) for c, k in SUMMARY])
+
+
+def _op13_sql() -> str:
+    """The damage, the faults and the programme row by row from the end; a state is its (cost, audit, lines)."""
+    def put(edit: str, cost: str, line: str | None, after: str) -> str:
+        lines = f"list_prepend({line}, {after}.l)" if line else f"{after}.l"
+        return f"{{'c': {after}.c + {cost}, 'a': '{edit}' || {after}.a, 'l': {lines}}}"
+
+    def least(options: list[str]) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def state(me: str, kept: dict[str, str], new: str, name: str) -> str:
+        stays = "CASE WHEN fault = 'truncated' THEN 5 WHEN fault <> '' THEN 1000000000 ELSE 0 END"
+        return least([put("D", "2", None, me), put("R", f"1 + {stays}", f"'{name}:' || text", new),
+                      *[put("K", f"CASE WHEN role[1] = '{i}' THEN {stays} ELSE 1000000000 END", "role || ':' || text", to) for i, to in kept.items()]])
+
+    def inserted(source: str) -> str:
+        user = put("I", "5", "'user:'", "u2")
+        return (f"SELECT conv_id, i, {least(['n', user])} AS n, {least(['s', user])} AS s, u2 AS u, {least(['a', put('I', '5', chr(39) + 'user:' + chr(39), 'u')])} AS a "
+                f"FROM (SELECT *, {least(['u', put('I', '5', chr(39) + 'assistant:' + chr(39), 'a')])} AS u2 FROM {source})")
+
+    stop, far = ("{'c': %d::BIGINT, 'a': '', 'l': []::VARCHAR[]}" % c for c in (0, 10 ** 9))
+    step = (f"(SELECT rec.conv_id, rec.i - 1 AS i, {state('n', {'s': 's', 'u': 'u'}, 'u', 'user')} AS n, {state('s', {'u': 'u'}, 'u', 'user')} AS s, "
+            f"{state('u', {'a': 'a'}, 'a', 'assistant')} AS u, {state('a', {'u': 'u'}, 'u', 'user')} AS a "
+            "FROM rec JOIN f ON f.conv_id IS NOT DISTINCT FROM rec.conv_id AND f.i = rec.i - 1)")
+    return rf"""
+WITH RECURSIVE bits AS (
+  SELECT i, CAST(i AS BIGINT) AS c, 0 AS step FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END, step + 1 FROM bits WHERE step < 8
+), tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+plain AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS x FROM conversations),
+steps AS (
+  SELECT x, CAST(4294967295 AS BIGINT) AS c, 0 AS k FROM (SELECT DISTINCT x FROM plain)
+  UNION ALL SELECT x, xor(c // 256, t[1 + CAST(xor(c % 256, CAST(ord(x[k + 1]) AS BIGINT)) AS BIGINT)]), k + 1 FROM steps, tab WHERE k < length(x)
+), kinds AS (SELECT x, xor(c, CAST(4294967295 AS BIGINT)) % 20 AS kind FROM steps WHERE k = length(x)),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM plain JOIN kinds USING (x) WHERE kind <> 0)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS i FROM d),
+f AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+               WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+               WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+             lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+ends AS (SELECT conv_id, max(i) + 1 AS i, {stop} AS n, {far} AS s, {far} AS u, {stop} AS a FROM f GROUP BY conv_id),
+rec AS ({inserted("ends")} UNION ALL {inserted(step)}),
+best AS (SELECT conv_id, n.c AS cost, n.a AS audit, sha256(array_to_string(n.l, chr(10))) AS repaired_sha256 FROM rec WHERE i = 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                  count(*) FILTER (i > 1 AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+OP13_SQL = _op13_sql()

@@ -164,3 +164,29 @@ def test_kernel_and_calibration():
     assert np.abs(phi @ phi.T - want).max() < 0.04
     xs, ys = Q.pool_adjacent(np.arange(6.0), np.array([0, 1, 0, 0, 1, 1.0]), np.ones(6))
     assert list(ys) == [0, 1 / 3, 1] and list(xs) == [0, 2, 4.5] or (np.diff(ys) > 0).all()
+
+
+def test_fit_equals_a_direct_ridge_solution(spark):
+    """The partition-summed normal equations against least squares over stacked rows, the calibration against a plain isotonic fit."""
+    docs, labels = pd.read_parquet(f"{SF}/documents.parquet"), pd.read_parquet(f"{SF}/labels.parquet")
+    rows = docs.merge(labels, on="doc_id")
+    stats, y = np.array([Q.statistics((t or "").encode()) for t in rows.text]), rows.quality.to_numpy(float)
+    df = spark.createDataFrame([(bytearray(s.tobytes()), float(v)) for s, v in zip(stats, y)], "_stats binary, _y double").repartition(7)
+    model = Q.fit(df)
+    spread = stats.std(0)
+    assert np.allclose(model.mean, stats.mean(0)) and np.allclose(model.scale, np.where(spread > 1e-9, spread, 1), atol=1e-6)
+    phi = model.phi(stats)
+    shrink = np.sqrt(np.append(np.full(model.features, Q.RIDGE * len(y)), 0) + 1e-9)  # ridge as extra rows
+    direct = np.linalg.lstsq(np.vstack([phi, np.diag(shrink)]), np.append(y, np.zeros(len(shrink))), rcond=None)[0]
+    assert np.allclose(phi @ model.coef, phi @ direct, atol=1e-6)
+    # Isotonic by definition: at each cell the largest over starts of the smallest over ends of the block means.
+    raw = phi @ model.coef
+    cell = np.clip((raw + 0.5) / 2 * Q.GRID, 0, Q.GRID - 1).astype(int)
+    cells = np.unique(cell)
+    w, m = (np.array([f(cell == c) for c in cells]) for f in (np.sum, lambda at: y[at].mean()))
+    cw, cm = np.append(0, np.cumsum(w)), np.append(0, np.cumsum(w * m))
+    iso = [max(min((cm[e] - cm[s]) / (cw[e] - cw[s]) for e in range(i + 1, len(cells) + 1)) for s in range(i + 1)) for i in range(len(cells))]
+    blocks = np.array([raw[cell == c].mean() for c in cells])
+    levels, at = np.unique(np.round(iso, 9), return_inverse=True)
+    centres = [np.average(blocks[at == k], weights=w[at == k]) for k in range(len(levels))]
+    assert np.allclose(model.score(stats), np.clip(np.interp(raw, centres, levels), 0, 1), atol=1e-6)
