@@ -139,15 +139,8 @@ UTF16_BE_RE = r"^(?:[0-9A-CEF]...|D[0-7]..|D[89AB]..D[C-F]..)*+$"
 UTF16_LE_RE = r"^(?:..(?:[0-9A-CEF].|D[0-7])|..D[89AB]..D[C-F])*+$"
 
 
-def decode_body(content, charset) -> Column:
-    """bytes -> string by declared charset; undecodable bytes and unknown charsets -> NULL.
-
-    UTF-8, US-ASCII, ISO-8859-1, windows-1252, UTF-16 (with byte order mark,
-    else big endian), UTF-16BE and UTF-16LE. Bytes are checked before they
-    are decoded (decode() would fail the job).
-    """
-    raw = _c(content)
-    cs = F.upper(F.trim(_c(charset)))
+def _decoded(raw: Column, cs: Column) -> Column:
+    """``decode_body`` of bytes whose charset is in capitals."""
     latin = F.decode(raw, "ISO-8859-1")
     known = {k: v for k, v in WINDOWS.items() if v}
     windows = F.translate(latin, "".join(map(chr, known)), "".join(known.values()))
@@ -165,6 +158,19 @@ def decode_body(content, charset) -> Column:
             .when(cs == "UTF-16", F.when(little, le(body)).otherwise(be(body))))
 
 
+def decode_body(content, charset) -> Column:
+    """bytes -> string by declared charset; undecodable bytes and unknown charsets -> NULL.
+
+    UTF-8, US-ASCII, ISO-8859-1, windows-1252, UTF-16 (with byte order mark,
+    else big endian), UTF-16BE and UTF-16LE. Bytes are checked before they
+    are decoded (decode() would fail the job). Bytes and charset are variables
+    of the rule, so however long their own expressions are, they are evaluated
+    once and the compiled code stays small.
+    """
+    landed = F.struct(_c(content).alias("raw"), F.upper(F.trim(_c(charset))).alias("cs"))
+    return F.get(F.transform(F.array(landed), lambda x: _decoded(x["raw"], x["cs"])), F.lit(0))
+
+
 META_RE = r"(?i)<meta\s[^>]*?charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)"
 META_BYTES = 1024
 
@@ -179,15 +185,17 @@ def decode_any(content, charset=None) -> Column:
     """
     raw = _c(content)
     code = F.hex(F.substring(raw, 1, 3))
-    rest = lambda n: F.substring(raw, n + 1, 1 << 30)
     meta = F.upper(F.regexp_extract(F.decode(F.substring(raw, 1, META_BYTES), "ISO-8859-1"), META_RE, 1))
     meta = F.when(meta.startswith("UTF-16"), F.lit("UTF-8")).otherwise(meta)
-    def attempt(name, body, applies):
-        text = decode_body(body, name)
-        return F.when(applies & text.isNotNull(), F.struct(text.alias("text"), name.alias("charset")))
 
-    named = [meta] if charset is None else [F.upper(F.trim(_c(charset))), meta]
-    said = F.filter(F.transform(F.array(*named), lambda n: F.struct(decode_body(raw, n).alias("text"), n.alias("charset"))), lambda x: x["text"].isNotNull())
+    def guess(name, body):
+        return F.struct(name.alias("name"), body.alias("body"))
+
     marks = [("UTF-8", 3, "EFBBBF"), ("UTF-16LE", 2, "FFFE"), ("UTF-16BE", 2, "FEFF")]
-    return F.coalesce(*[attempt(F.lit(c), rest(n), code.startswith(m)) for c, n, m in marks], F.get(said, F.lit(0)),
-                      *[attempt(F.lit(c), raw, F.lit(True)) for c in ("UTF-8", "WINDOWS-1252", "ISO-8859-1")])
+    named = [meta] if charset is None else [F.upper(F.trim(_c(charset))), meta]
+    guesses = [guess(F.lit(c), F.when(code.startswith(m), F.substring(raw, n + 1, 1 << 30))) for c, n, m in marks]
+    guesses += [guess(c, raw) for c in (*named, F.lit("UTF-8"), F.lit("WINDOWS-1252"), F.lit("ISO-8859-1"))]
+    none = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("charset"))
+    # Guesses after the one that decodes are not tried.
+    return F.when(raw.isNotNull(), F.aggregate(F.array(*guesses), none, lambda found, g: F.when(found["text"].isNotNull(), found).otherwise(
+        F.struct(_decoded(g["body"], g["name"]).alias("text"), g["name"].alias("charset")))))

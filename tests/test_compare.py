@@ -109,6 +109,16 @@ def test_charset_from_bytes(spark):
         assert (got[i] and got[i].text, got[i] and got[i].charset) == (text, charset), i
 
 
+@pytest.mark.parametrize("name", ["decode_pages", "decode_any_pages", "decode_rejects"])
+def test_decoding_compiles(spark, name):
+    """Bytes and charsets made by long expressions stay within what the JVM compiles (no interpreted plan instead)."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert C.queries()[name](spark, SF_SMALL).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def test_sentence_chunks(spark):
     long = " ".join(f"w{i}" for i in range(25)) + "."
     texts = ["", None, "One two. Three four five. Six.", "A b c d e f g h. I. J k.", f"Start here. {long} The end.", "no end", "a  b. c", "x " * 30]
