@@ -16,6 +16,7 @@ from ..config import ENCODE_BATCH, INSERT_BATCH, MAX_WORDS
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.encoders import Encoder
+from ..session import cut_lineage
 from . import bloom as B
 from .ids import keyed_index
 
@@ -195,8 +196,8 @@ def ingest(urls: DataFrame, fetched: DataFrame, encoder: Encoder, existing: Data
     routed = route(todo, fetched, max_words)
     if observation is not None:
         routed = routed.observe(observation, *progress_metrics())
-    # Routed rows feed both the accepted path and the rejects: computed once.
-    routed = routed.persist()
+    # Routed rows feed both the accepted path and the rejects: computed once, with no cache to release afterwards.
+    routed = cut_lineage(routed)
     acc = accepted(routed).select("source", "seq", "url", "article", "published", "n_words")
     with_ids = assign_ids(acc, next_id(existing))
     points = build_points(with_ids, encoder)

@@ -57,10 +57,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or current
 
 
+_HANDED_OUT: dict[str, list[str]] = {}  # folders by application
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
-    """A path below the shared checkpoint folder (for written intermediate tables)."""
+    """A path below the shared checkpoint folder (for written intermediate tables); ``drop_written`` deletes it."""
     root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, *parts) if "://" not in root else "/".join([root.rstrip("/"), *parts])
+    path = os.path.join(root, *parts) if "://" not in root else "/".join([root.rstrip("/"), *parts])
+    if parts:
+        _HANDED_OUT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this application wrote through ``shared_path``; how many there were.
+
+    For a long-lived session, once the results that read them are written
+    elsewhere: DataFrames over them cannot be read again. Checkpoints are not
+    touched (Spark deletes them itself under
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``), nor are tables of
+    other applications or folders that the caller named.
+    """
+    hadoop, dropped = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for name in _HANDED_OUT.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        dropped += path.getFileSystem(hadoop).delete(path, True)
+    return dropped
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -1,12 +1,14 @@
 """Dense ids, routing totals, resume, upsert, collection storage, encoder contract."""
 
 import os
+import uuid
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from places import SF_MID, SF_SMALL
+from pagesift import session
 from pagesift.functions.encoders import HashEncoder, ModelEncoder
 from pagesift.operators import ingest as I
 from pagesift.operators.ids import dense_index
@@ -166,3 +168,15 @@ def test_keyed_index_with_repeats_and_nulls(spark):
     assert sorted(map(str, (g[1:] for g in got))) == sorted(map(str, rows))
     order = [(g[1] is not None, g[1] or "", g[2] is not None, g[2] or 0) for g in got]
     assert order == sorted(order)
+
+
+def test_drop_written(spark, monkeypatch, tmp_dir):
+    monkeypatch.setattr(session, "_HANDED_OUT", {})
+    mine, other = session.shared_path(spark, f"drop-{uuid.uuid4().hex}"), os.path.join(tmp_dir, "kept")
+    for path in (mine, other):
+        spark.range(10).write.parquet(path)
+    session.shared_path(spark, "never-written")
+    assert CO._exists(spark, mine)
+    assert session.drop_written(spark) == 1 and session.drop_written(spark) == 0
+    assert not CO._exists(spark, mine) and spark.read.parquet(other).count() == 10
+    assert CO._exists(spark, session.ensure_checkpoint_dir(spark))
