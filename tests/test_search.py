@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from places import SF_MID, SF_SMALL
+from pagesift.operators import search as SR
 from pagesift.plans import catalog as C
 
 
@@ -49,3 +50,22 @@ def test_search_blocked_plan_equals_broadcast_plan(spark):
     b = SR.search(points, articles, q, C.HASH, 3, max_broadcast_bytes=20_000)  # forces query chunks
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(a) == key(b) and len(key(a)) > 0
+
+
+def test_sentences_as_sparse_vectors(spark):
+    """Sentences take the sparse vectors of an encoder that has them, for the same answers."""
+    class Spare:
+        def __init__(self, dense=()):
+            self.dense, self.dim = dense, C.HASH.dim
+            if dense:
+                self.sparse = C.HASH.sparse
+
+        def column(self, text):
+            assert not self.dense or text in self.dense, text
+            return C.HASH.column(text)
+
+    arts = spark.createDataFrame([(i, f"one {w}. two {w} here! three? {w} four.") for i, w in enumerate("red blue green red".split())], "id long, article string")
+    asked = spark.createDataFrame([(1, "blue here"), (2, "red four three"), (3, "none of it")], "query_id long, query string")
+    points = arts.select("id", C.HASH.column("article").alias("vector"))
+    got, want = (sorted(SR.search(points, arts, asked, e, 3, date_col=None).collect()) for e in (Spare(("query",)), Spare()))
+    assert len(want) == 9 and all(r.sentence for r in want) and str(got) == str(want)
