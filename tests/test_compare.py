@@ -148,3 +148,9 @@ def test_pending_filtered_query(spark):
     qs = C.queries()
     key = lambda n: collections.Counter(map(tuple, qs[n](spark, SF_SMALL).collect()))
     assert key("pending_filtered") == key("pending_urls")
+
+
+def test_bootstrap_of_one_query(spark):
+    """Most replicates of one query weigh it once or more; those that weigh nothing are left out."""
+    values = spark.createDataFrame([("a", 1, 0.75), ("b", 1, 0.5), ("c", 2, 0.5)], "method string, query_id long, value double")
+    assert [tuple(r) for r in CP.paired_bootstrap(values).collect()] == [("a", "b", 1, 0.25, 0.25, 0.25)]
